@@ -7,6 +7,8 @@ import importlib
 #: query: module of this subpackage. A module has query(spark, sf_dir) and ORACLE_SQL (None where SQL can't express it).
 MODULES = {
     "op4_quality_rules": "quality",
+    "op5_secret_scan": "secrets_scan",
+    "op7_mix_sources": "mixing",
 }
 
 
