@@ -9,6 +9,9 @@ MODULES = {
     "op4_quality_rules": "quality",
     "op5_secret_scan": "secrets_scan",
     "op7_mix_sources": "mixing",
+    "op8_warc_packages": "warc",
+    "op9_transport_streams": "transport",
+    "op10_best_fit_packing": "packing",
 }
 
 
