@@ -6,6 +6,7 @@ import importlib
 
 #: query: module of this subpackage. A module has query(spark, sf_dir) and ORACLE_SQL (None where SQL can't express it).
 MODULES = {
+    "op2_substring_dedup": "substrings",
     "op3_simhash": "simhash",
     "op4_quality_rules": "quality",
     "op5_secret_scan": "secrets_scan",
