@@ -1,29 +1,29 @@
-"""The queries opN_<name> over the driver's tables, each with SQL where SQL can express it."""
+"""The queries opN_<name> and pipeline over the driver's tables, each with SQL where SQL can express it."""
 
 from __future__ import annotations
 
-import importlib
+import corpus_pipeline
+from strandframe.llm import katz, lines, mixing, packing, quality, secrets_scan, simhash, substrings, transport, warc
 
-#: query: module of this subpackage. A module has query(spark, sf_dir) and ORACLE_SQL (None where SQL can't express it).
+#: A module has query(spark, sf_dir) and ORACLE_SQL (None where SQL can't express it).
 MODULES = {
-    "op2_substring_dedup": "substrings",
-    "op3_simhash": "simhash",
-    "op4_quality_rules": "quality",
-    "op5_secret_scan": "secrets_scan",
-    "op7_mix_sources": "mixing",
-    "op8_warc_packages": "warc",
-    "op9_transport_streams": "transport",
-    "op10_best_fit_packing": "packing",
+    "op1_katz_backoff": katz,
+    "op2_substring_dedup": substrings,
+    "op3_simhash": simhash,
+    "op4_quality_rules": quality,
+    "op5_secret_scan": secrets_scan,
+    "op6_line_dedup": lines,
+    "op7_mix_sources": mixing,
+    "op8_warc_packages": warc,
+    "op9_transport_streams": transport,
+    "op10_best_fit_packing": packing,
 }
 
 
-def _modules() -> dict:
-    return {name: importlib.import_module(f"strandframe.llm.{module}") for name, module in MODULES.items()}
-
-
 def queries() -> dict:
-    return {name: module.query for name, module in _modules().items()}
+    return {name: module.query for name, module in MODULES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: module.ORACLE_SQL for name, module in _modules().items() if module.ORACLE_SQL}
+    found = {name: module.ORACLE_SQL for name, module in MODULES.items()} | {"pipeline": corpus_pipeline.ORACLE_SQL}
+    return {name: sql for name, sql in found.items() if sql}
