@@ -156,7 +156,7 @@ def removals(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     place = F.struct("doc_id", "tag", "line")
     distinct = staged(lines.groupBy("a", "b").agg(F.min(place).alias("first"), F.first("halves").alias("halves")), "distinct")
     parts = distinct.select("a", "b", F.explode(F.array_distinct("halves")).alias("half"))
-    shared = parts.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half")
+    shared = staged(parts.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half"), "shared")  # a table of its own, so that Spark can split the join's hot halves
     sides = parts.join(shared, "half", "left_semi").groupBy("a", "b").agg(F.bit_or(F.when(F.col("half") % 2 == 0, PREFIX).otherwise(SUFFIX)).alias("sides"))
     known = staged(distinct.select("a", "b", "first").join(sides, ["a", "b"], "left"), "known").select(F.col("a").alias("x"), F.col("b").alias("y"), "first", "sides")
     discard(distinct)
