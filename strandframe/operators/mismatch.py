@@ -13,32 +13,47 @@ from strandframe.operators import bases, intervals
 _KEEP = ["rec_idx", "contig", "read_num", "is_rev", "seq_len", "reference_order", "frag_len", "overlap_start", "overlap_end"]
 
 
-def counted_bases(alignments: DataFrame, reference: DataFrame, config: MismatchConfig, longest: int, bed: DataFrame | None = None, contigs: DataFrame | None = None, width: int = bases.WIDTH) -> DataFrame:
-    """A row for each base that counts: base_change, read_num, reference_order, base_position, source (align, clip)."""
-    mode = check_bed_mode(config.bed_mode) if bed is not None else None
+def _reads(alignments: DataFrame, reference: DataFrame, config: MismatchConfig, width: int, bed: DataFrame | None, contigs: DataFrame | None) -> DataFrame:
     reads = bases.prepared(alignments.where((F.col("tid") >= 0) & ~exprs.skipped(config.reads)))
-    if mode == "filter":
+    if bed is not None and check_bed_mode(config.bed_mode) == "filter":
         reads = intervals.without_reads(reads, bed, config.region_size, contigs)
-    reads = bases.on_reference(bases.with_mates(reads), reference, width)
-    mask = bed if mode == "mask" else None
+    return bases.on_reference(bases.with_mates(reads), reference, width)
 
+
+def _aligned(reads: DataFrame, config: MismatchConfig, mask: DataFrame | None) -> DataFrame:
     rows = bases.masked(bases.aligned(reads, _KEEP).withColumn("ref_base", F.upper("ref_base")), mask)
     rows = rows.where(exprs.countable(F.col("read_base")) & exprs.countable(F.col("ref_base")))
     if config.overlap_mode == "cut":
         inside = exprs.sure((F.col("g_pos") >= F.col("overlap_start")) & (F.col("g_pos") < F.col("overlap_end")))
         rows = rows.where(~((F.col("read_num") == 2) & inside))
-    clips = bases.masked(bases.clipped(reads, _KEEP), mask)
-    matches = F.avg((F.col("read_base") == F.col("ref_base")).cast("double")).over(W.partitionBy("rec_idx", "side"))
-    clips = clips.withColumn("identity", matches).where(F.col("identity") >= config.softclip_identity).drop("identity", "side")
-    both = rows.withColumn("source", F.lit("align")).unionByName(clips.withColumn("source", F.lit("clip"))).where(F.col("qual") >= config.min_base_quality)
+    return rows.withColumn("source", F.lit("align"))
+
+
+def aligned_bases(alignments: DataFrame, reference: DataFrame, config: MismatchConfig, width: int = bases.WIDTH) -> DataFrame:
+    """The aligned bases that count, without clips and intervals; narrow but for the join with the reference."""
+    return _aligned(_reads(alignments, reference, config, width, None, None), config, None)
 
+
+def placed(rows: DataFrame, config: MismatchConfig, longest: int) -> DataFrame:
+    """Bases of sufficient quality as base_change, read_num, reference_order, base_position, source."""
     length, top = F.col("seq_len"), F.lit(longest).cast("long")
     if config.position_mode == "read":
         place = exprs.read_position(F.col("r_pos"), length, top, F.col("is_rev"))
     else:
         place = exprs.insert_position(F.col("r_pos"), length, top, F.col("frag_len"), F.col("reference_order"), config.overlap_mode == "stretch")
     change = exprs.base_change(F.col("ref_base"), F.col("read_base"), F.col("is_rev"), F.col("read_num"), config.methylation)
-    return both.select(change.alias("base_change"), "read_num", "reference_order", place.cast("long").alias("base_position"), "source")
+    good = rows.where(F.col("qual") >= config.min_base_quality)
+    return good.select(change.alias("base_change"), "read_num", "reference_order", place.cast("long").alias("base_position"), "source")
+
+
+def counted_bases(alignments: DataFrame, reference: DataFrame, config: MismatchConfig, longest: int, bed: DataFrame | None = None, contigs: DataFrame | None = None, width: int = bases.WIDTH) -> DataFrame:
+    """A row for each base that counts: base_change, read_num, reference_order, base_position, source (align, clip)."""
+    mask = bed if bed is not None and check_bed_mode(config.bed_mode) == "mask" else None
+    reads = _reads(alignments, reference, config, width, bed, contigs)
+    clips = bases.masked(bases.clipped(reads, _KEEP), mask)
+    matches = F.avg((F.col("read_base") == F.col("ref_base")).cast("double")).over(W.partitionBy("rec_idx", "side"))
+    clips = clips.withColumn("identity", matches).where(F.col("identity") >= config.softclip_identity).drop("identity", "side")
+    return placed(_aligned(reads, config, mask).unionByName(clips.withColumn("source", F.lit("clip"))), config, longest)
 
 
 def mismatch_counts(alignments: DataFrame, reference: DataFrame, config: MismatchConfig = MismatchConfig(), bed: DataFrame | None = None, contigs: DataFrame | None = None, longest: int | None = None, width: int = bases.WIDTH) -> DataFrame:
