@@ -16,9 +16,14 @@ from strandframe.operators import bases, intervals
 
 
 def routed(alignments: DataFrame, config: DiagnosticsConfig, bed: DataFrame | None = None, contigs: DataFrame | None = None) -> DataFrame:
-    """Reads that count, with chunk, pair (null: single), record (1 or 2) and the pair's overlap.
+    """Reads that count, as grouped() has them: flags and quality are looked at after pairs are made."""
+    return grouped(alignments, config, bed, contigs).where(~exprs.skipped(config.reads))
 
-    A pair is two mapped reads of one name, both mates mapped, in one chunk, and no third one; flags and quality are looked at after that.
+
+def grouped(alignments: DataFrame, config: DiagnosticsConfig, bed: DataFrame | None = None, contigs: DataFrame | None = None) -> DataFrame:
+    """Reads with chunk, pair (null: single), record (1 or 2) and the pair's overlap.
+
+    A pair is two mapped reads of one name that overlap, both mates mapped, in one chunk, and no third one.
     """
     reads = bases.prepared(alignments.where(F.col("tid") >= 0)).withColumn("chunk", F.expr(f"pos div {config.region_size}"))
     if bed is not None and check_bed_mode(config.bed_mode) == "filter":
@@ -32,8 +37,12 @@ def routed(alignments: DataFrame, config: DiagnosticsConfig, bed: DataFrame | No
     is_pair = pairable & (F.count(F.lit(1)).over(group) == 2)
     reads = reads.withColumns({"overlap_start": F.when(is_pair, low), "overlap_end": F.when(is_pair, high), "record": F.row_number().over(order), "pair": F.min("rec_idx").over(group)})
     joined = F.col("overlap_start").isNotNull()
-    reads = reads.withColumns({"record": F.when(joined, F.col("record")), "pair": F.when(joined, F.col("pair"))})
-    return reads.where(~exprs.skipped(config.reads))
+    return reads.withColumns({"record": F.when(joined, F.col("record")), "pair": F.when(joined, F.col("pair"))})
+
+
+def read_counters(reads: DataFrame) -> DataFrame:
+    """total_records and overlap_pairs of grouped() reads."""
+    return reads.agg(F.count(F.lit(1)).alias("total_records"), F.count_if(F.col("record") == 1).alias("overlap_pairs"))
 
 
 _KEEP = ["contig", "chunk", "pair", "record", "overlap_start", "overlap_end", "read_num", "is_rev", "seq_len"]

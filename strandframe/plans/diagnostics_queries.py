@@ -90,6 +90,10 @@ def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnostics.routed(fx.alignments(spark, sf_dir), CONFIG)
 
 
+def _counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.read_counters(diagnostics.grouped(fx.alignments(spark, sf_dir), CONFIG))
+
+
 def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return legacy.overlap_mismatches(_routed(spark, sf_dir), fx.reference(spark, sf_dir), CONFIG, fx.WIDTH)
 
@@ -132,6 +136,7 @@ QUERIES = {
     "insert_merge_canonical": (_merged, _MERGED_SQL),
     "wide_position_table": (_wide, _WIDE_SQL),
     "wide_inconsistency_table": (lambda spark, sf_dir: legacy.wide_inconsistencies(_found("inconsistencies", CONFIG)(spark, sf_dir), ["R1:A_R2:C", "R1:C_R2:A"]), _WIDE_INC_SQL),
+    "read_counters": (_counters, _sql(CONFIG) + " select count(*) as total_records, count(*) filter (paired2 and rn = 1) as overlap_pairs from q2"),
     "rescaled_bases": (_changed, _new_qualities("a.clip") + " select rec_idx, r_pos, new_qual from new"),
     "rescale_quality": (_rescaled, _new_qualities("a.clip") + " select b.rec_idx, string_agg(coalesce(new_qual, qual)::varchar, ',' order by j) as qualities from bases b left join new on b.rec_idx = new.rec_idx and b.j = new.r_pos group by 1"),
 }

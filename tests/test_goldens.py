@@ -297,3 +297,11 @@ def test_rescale_caps_and_keeps(spark, files):
 def test_unused_fragment_lengths_warn():
     with pytest.warns(UserWarning, match="select nothing"):
         MismatchConfig(min_fragment_length=5)
+
+
+def test_sample_table(spark):
+    table = plotprep.sample_table(spark)
+    assert sorted(rows(table)) == sorted(rows(plotprep.sample_table(spark))) and table.where("count <= 0").count() == 0
+    bump = table.where("base_change = 'C>T' and read_num = 1").groupBy("reference_order").agg(F.max_by("fragment_position", "count").alias("at"))
+    near = dict(map(tuple, bump.collect()))
+    assert near[1] < 20 and near[2] > 80
