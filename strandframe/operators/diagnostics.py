@@ -64,26 +64,45 @@ def base_rows(reads: DataFrame, reference: DataFrame, bed: DataFrame | None = No
     return rows.join(met, hit, "left").withColumn("ref_base", F.when(F.col("bed_contig").isNotNull(), F.lit("N")).otherwise(F.col("ref_base"))).drop("bed_contig", "bed_start", "bed_end", "bed_bin")
 
 
-def depth(rows: DataFrame) -> DataFrame:
-    """chunk, contig, g_pos, depth: bases of any quality; the first record of a pair counts double where the two overlap, the second not."""
-    weight = F.when(F.col("in_overlap"), F.when(F.col("record") == 1, 2).otherwise(0)).otherwise(1)
-    return rows.groupBy("chunk", "contig", "g_pos").agg(F.sum(weight).cast("long").alias("depth")).where("depth > 0")
+_SITE = ["chunk", "contig", "g_pos"]
+
 
+def site_table(rows: DataFrame, config: DiagnosticsConfig) -> DataFrame:
+    """chunk, contig, g_pos, depth and keys, in one pass over the bases.
 
-def mismatch_keys(rows: DataFrame, config: DiagnosticsConfig) -> DataFrame:
-    """Distinct (chunk, contig, g_pos, mismatch_type, read_num, read_position) of bases that differ, outside of overlaps, of single reads and first records."""
+    depth counts bases of any quality; the first record of a pair counts double where the two overlap, the second not. keys are
+    the distinct (mismatch_type, read_num, read_position) of bases that differ, outside of overlaps, of single reads and first
+    records: at most 24 a position of a read, so a site's set is small however deep the site is.
+    """
+    weight = F.when(F.col("in_overlap"), F.when(F.col("record") == 1, 2).otherwise(0)).otherwise(1)
     differ = exprs.countable(F.col("read_base")) & exprs.countable(F.col("ref_base")) & (F.col("read_base") != F.col("ref_base"))
-    counted = rows.where(differ & (F.col("qual") >= config.min_base_quality) & ~F.col("in_overlap") & exprs.sure(F.col("record").isNull() | (F.col("record") == 1)))
+    counted = differ & (F.col("qual") >= config.min_base_quality) & ~F.col("in_overlap") & exprs.sure(F.col("record").isNull() | (F.col("record") == 1))
     change = exprs.base_change(F.col("ref_base"), F.col("read_base"), F.col("is_rev"), F.col("read_num"), config.methylation)
     place = exprs.diagnostic_position(F.col("r_pos"), F.col("seq_len"), F.col("is_rev"), F.col("read_num"), config.mode_length, config.insert_mode)
-    return counted.select("chunk", "contig", "g_pos", change.alias("mismatch_type"), "read_num", place.cast("long").alias("read_position")).distinct()
+    key = F.struct(change.alias("mismatch_type"), F.col("read_num"), place.cast("long").alias("read_position"))
+    return rows.groupBy(*_SITE).agg(F.sum(weight).cast("long").alias("depth"), F.collect_set(F.when(counted, key)).alias("keys"))
+
+
+def depth(sites: DataFrame) -> DataFrame:
+    return sites.where("depth > 0").select(*_SITE, "depth")
+
+
+def mismatch_keys(sites: DataFrame) -> DataFrame:
+    """chunk, contig, g_pos, mismatch_type, read_num, read_position of a site_table()."""
+    return sites.select(*_SITE, F.explode("keys").alias("key")).select(*_SITE, "key.*")
+
+
+def passing_keys(sites: DataFrame, config: DiagnosticsConfig) -> DataFrame:
+    """Keys of the sites over both thresholds, with count (the distinct keys of the site's mismatch type, not reads) and depth. No
+    shuffle is needed: a site's keys are together."""
+    rows = sites.where(F.col("depth") >= config.min_depth).select(*_SITE, "depth", F.explode("keys").alias("key")).select(*_SITE, "depth", "key.*")
+    alike = F.count(F.lit(1)).over(W.partitionBy(*_SITE, "mismatch_type"))
+    return rows.withColumn("count", alike).where(F.col("count") >= config.min_count)
 
 
-def passing_sites(keys: DataFrame, depths: DataFrame, config: DiagnosticsConfig) -> DataFrame:
-    """chunk, contig, g_pos, mismatch_type, count (distinct keys, not reads) and depth of the sites over both thresholds."""
-    sites = keys.groupBy("chunk", "contig", "g_pos", "mismatch_type").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= config.min_count)
-    joined = sites.join(depths, ["chunk", "contig", "g_pos"], "left").withColumn("depth", F.coalesce("depth", F.lit(0).cast("long")))
-    return joined.where(F.col("depth") >= config.min_depth)
+def passing_sites(keys: DataFrame) -> DataFrame:
+    """chunk, contig, g_pos, mismatch_type, count and depth of passing_keys()."""
+    return keys.groupBy(*_SITE, "mismatch_type").agg(F.first("count").alias("count"), F.first("depth").alias("depth"))
 
 
 def variants(sites: DataFrame) -> DataFrame:
@@ -93,10 +112,9 @@ def variants(sites: DataFrame) -> DataFrame:
     return last.where(F.size(parts) == 2).select(F.col("contig").alias("chromosome"), F.col("g_pos").alias("position"), parts[0].alias("reference_base"), parts[1].alias("mismatch_base"), "x.count", "x.depth")
 
 
-def discounts(keys: DataFrame, sites: DataFrame) -> DataFrame:
+def discounts(keys: DataFrame) -> DataFrame:
     """mismatch_type, read_num, read_position, discount_count: of each passing site, one for each of its keys."""
-    of = keys.join(sites.select("chunk", "contig", "g_pos", "mismatch_type"), ["chunk", "contig", "g_pos", "mismatch_type"], "left_semi")
-    return of.groupBy("mismatch_type", "read_num", "read_position").agg(F.count(F.lit(1)).alias("discount_count"))
+    return keys.groupBy("mismatch_type", "read_num", "read_position").agg(F.count(F.lit(1)).alias("discount_count"))
 
 
 def inconsistencies(reads: DataFrame, config: DiagnosticsConfig) -> DataFrame:
@@ -119,9 +137,9 @@ def inconsistencies(reads: DataFrame, config: DiagnosticsConfig) -> DataFrame:
 
 
 def diagnose(alignments: DataFrame, reference: DataFrame, config: DiagnosticsConfig = DiagnosticsConfig(), bed: DataFrame | None = None, contigs: DataFrame | None = None, width: int = bases.WIDTH) -> dict[str, DataFrame]:
-    """depth, keys, sites, variants, discounts and inconsistencies; the table of bases is made once if the caller persists it."""
+    """depth, keys, sites, variants, discounts and inconsistencies."""
     reads = routed(alignments, config, bed, contigs)
-    rows = base_rows(reads, reference, bed, config.bed_mode, width)
-    keys, depths = mismatch_keys(rows, config), depth(rows)
-    sites = passing_sites(keys, depths, config)
-    return {"depth": depths, "keys": keys, "sites": sites, "variants": variants(sites), "discounts": discounts(keys, sites), "inconsistencies": inconsistencies(reads, config)}
+    table = site_table(base_rows(reads, reference, bed, config.bed_mode, width), config)
+    passing = passing_keys(table, config)
+    sites = passing_sites(passing)
+    return {"depth": depth(table), "keys": mismatch_keys(table), "sites": sites, "variants": variants(sites), "discounts": discounts(passing), "inconsistencies": inconsistencies(reads, config)}
