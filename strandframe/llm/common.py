@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -54,13 +55,16 @@ def new_path(spark: SparkSession, label: str) -> str:
 def staged(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """df written as a table in the shared folder and read again: its lineage ends there, and a lost executor costs nothing."""
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).partitionBy(*partition_by).parquet(path)
     tidy(spark)
+    df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def tidy(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files that nothing refers to any more; it does so only after the driver has collected its garbage."""
+    """Lets Spark delete shuffle files that nothing refers to any more; it does so only after the driver has collected its garbage.
+
+    The last job's own files are still referred to as its call returns, so this is for before the next job.
+    """
     gc.collect()
     spark._jvm.System.gc()
 
@@ -69,7 +73,7 @@ def discard(*tables: DataFrame) -> None:
     """Deletes staged tables that are no longer needed."""
     for df in tables:
         spark = df.sparkSession
-        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        for path in {re.match(r".*/strandframe-[^/]+", f)[0] for f in df.inputFiles()}:
             hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 

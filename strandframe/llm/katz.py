@@ -11,6 +11,7 @@ A block sends its distinct words and pairs, as sorted 64-bit hashes with trainin
 (ranges of hashes; one row a block and partition); each partition adds up, keeps its part of the model table, and answers every
 block with the totals in the order asked, and which block accounts for a pair in the sums over a history. Then histories
 go the same way for a(h). At last every block evaluates its own tokens: pair, else a(h) times word, else unknown.
+Asking goes partition by partition, and evaluation block by block, in WAVES turns, which bounds the disk that shuffles take.
 A hot word is one entry a block, so no partition gets more than its share; nothing of the model is on the driver but its counts of counts.
 
 Defined cases: a null or empty text is the end alone; a null id is held out; repeated rows each count and each get a row;
@@ -30,11 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import read, shuffle_partitions, staged, text_of
+from strandframe.llm.common import discard, read, shuffle_partitions, staged, text_of
 from strandframe.llm.substrings import _mixed
 
 K = 5
 BLOCK = 2_500_000
+#: Blocks and partitions take part a fraction at a time, so that no more than this fraction of what they exchange is on disk.
+WAVES = 4
 #: The end's hash in place of a word's.
 END = 0x51ED270B153A4D2F
 _ODD = 0xD6E8FEB86659FD93
@@ -107,34 +110,44 @@ class Block:
         self.histories[self.starts] = end
         self.trained = np.repeat(~self.held, self.lengths)
 
+    def pair_hashes(self) -> np.ndarray:
+        v = self.vocabulary
+        return _mixed(v[self.histories] * np.uint64(_ODD) + v[self.words])
+
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted hashes of the distinct pairs, where each first stands, and each token's pair."""
-        v = self.vocabulary
-        return np.unique(_mixed(v[self.histories] * np.uint64(_ODD) + v[self.words]), return_index=True, return_inverse=True)
+        return np.unique(self.pair_hashes(), return_index=True, return_inverse=True)
+
+
+def _edges(parts: int) -> list[int]:
+    """Least hash of each partition but the first, and a last one that no hash reaches."""
+    return [-(-(i << 64) // parts) for i in range(1, parts + 1)]
 
 
 def _cuts(keys: np.ndarray, parts: int) -> list[int]:
-    edges = np.array([-(-(i << 64) // parts) for i in range(1, parts)], np.uint64)
-    return [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+    return [0, *np.searchsorted(keys, np.array(_edges(parts)[:-1], np.uint64)).tolist(), len(keys)]
 
 
 _ASKED = "order int, part int, block long, keys binary, counts binary"
 
 
-def _ask(parts: int):
+def _ask(parts: int, first: int, last: int):
+    """What blocks ask of the partitions from first to before last."""
+    low = 0 if first == 0 else _edges(parts)[first - 1]
+    high = min(_edges(parts)[last - 1], (1 << 64) - 1) if last < parts else (1 << 64) - 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 b = Block(row)
-                for order in (1, 2):
-                    if order == 1:
-                        keys, of = b.vocabulary, b.words
-                    else:
-                        keys, _, of = b.pairs()
-                    counts = np.bincount(of[b.trained], minlength=len(keys)).astype(np.uint32)
+                for order, hashes in ((1, b.vocabulary[b.words]), (2, b.pair_hashes())):
+                    own = (hashes >= np.uint64(low)) & ((hashes <= np.uint64(high)) if last == parts else (hashes < np.uint64(high)))
+                    keys, of = np.unique(hashes[own], return_inverse=True)
+                    counts = np.bincount(of[b.trained[own]], minlength=len(keys)).astype(np.uint32)
                     cuts = _cuts(keys, parts)
                     some = [(order, p, b.id, pack(keys[x:y]), pack(counts[x:y])) for p, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["order", "part", "block", "keys", "counts"])
+                    if some:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["order", "part", "block", "keys", "counts"])
 
     return run
 
@@ -274,17 +287,37 @@ def model_and_scores(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, Da
     parts = shuffle_partitions(spark)
     out = F.col("held_out").cast("boolean") if "held_out" in docs.columns else F.lit(None).cast("boolean")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), out.alias("held_out"), text_of().cast("binary").alias("text"))
-    blocks = staged(rows.mapInArrow(_blocks(block), "block long, ids array<long>, held binary, lengths binary, tokens binary, vocabulary binary"), "blocks")
-    # an order's partitions are dealt out evenly: hashes of few pairs (order, part) would meet in some tasks
-    asked = blocks.mapInArrow(_ask(parts), _ASKED)
-    answers = staged(asked.groupBy("order", "part").applyInArrow(_answer, _ANSWERED), "answers")
+    made = rows.mapInArrow(_blocks(block), "block long, ids array<long>, held binary, lengths binary, tokens binary, vocabulary binary")
+    wave = lambda c: F.pmod(F.col(c), F.lit(WAVES)).cast("int")
+    blocks = staged(made.withColumn("wave", wave("block")), "blocks", ("wave",))
+    own = [blocks.where(F.col("wave") == w).drop("wave") for w in range(WAVES)]
+
+    answers = None
+    for w in range(WAVES):
+        first, last = parts * w // WAVES, parts * (w + 1) // WAVES
+        if last > first:
+            asked = blocks.drop("wave").mapInArrow(_ask(parts, first, last), _ASKED)
+            answered = staged(asked.groupBy("order", "part").applyInArrow(_answer, _ANSWERED), "answers")
+            answers = answered if answers is None else answers.union(answered)
     stats = answers.where("block is null").select("order", F.posexplode("stats")).groupBy("order", "pos").agg(F.sum("col").alias("n")).collect()
     of = lambda order: [next((r["n"] for r in stats if r["order"] == order and r["pos"] == i), 0) for i in range(K + 3)]
     known = Probabilities(of(1), of(2))
     told = answers.where("block is not null")
-    sums = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_histories(known, parts), "part int, block long, keys binary, counts binary, kept binary, mass binary, some binary")
+
+    sums = None
+    for w in range(WAVES):
+        summed = own[w].groupBy("block").cogroup(told.where(wave("block") == w).groupBy("block")).applyInArrow(_histories(known, parts), "part int, block long, keys binary, counts binary, kept binary, mass binary, some binary")
+        summed = staged(summed, "sums")
+        sums = summed if sums is None else sums.union(summed)
     sides = staged(sums.groupBy("part").applyInArrow(_weigh, _ANSWERED), "weights")
-    scores = blocks.groupBy("block").cogroup(told.union(sides.where("block is not null")).groupBy("block")).applyInArrow(_score(known), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    discard(sums)
+
+    told, scores = told.union(sides.where("block is not null")), None
+    for w in range(WAVES):
+        scored = own[w].groupBy("block").cogroup(told.where(wave("block") == w).groupBy("block")).applyInArrow(_score(known), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        scored = staged(scored, "scores")
+        scores = scored if scores is None else scores.union(scored)
+    discard(blocks)
     return answers.union(sides).where("block is null").select("order", "part", "keys", "totals"), scores
 
 
