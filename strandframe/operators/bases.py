@@ -87,6 +87,11 @@ def aligned(reads: DataFrame, keep: list[str]) -> DataFrame:
     return rows.select(*keep, "r_pos", "g_pos", _letter("seq", F.col("r_pos")).alias("read_base"), _letter("ref_seq", F.col("g_pos") - F.col("ref_start")).alias("ref_base"), F.get("qual", F.col("r_pos").cast("int")).alias("qual"))
 
 
+def has_clips() -> Column:
+    """Whether the very first or last operation of a read is a soft clip."""
+    return (F.size("ops") > 0) & ((F.get("ops", F.lit(0))["op"] == "S") | (F.get("ops", F.size("ops") - 1)["op"] == "S"))
+
+
 def clipped(reads: DataFrame, keep: list[str]) -> DataFrame:
     """As aligned(), for soft-clipped ends laid on the reference beside the read, with side (left, right).
 

@@ -13,11 +13,11 @@ from strandframe.operators import bases, intervals
 _KEEP = ["rec_idx", "contig", "read_num", "is_rev", "seq_len", "reference_order", "frag_len", "overlap_start", "overlap_end"]
 
 
-def _reads(alignments: DataFrame, reference: DataFrame, config: MismatchConfig, width: int, bed: DataFrame | None, contigs: DataFrame | None) -> DataFrame:
+def _reads(alignments: DataFrame, config: MismatchConfig, bed: DataFrame | None, contigs: DataFrame | None) -> DataFrame:
     reads = bases.prepared(alignments.where((F.col("tid") >= 0) & ~exprs.skipped(config.reads)))
     if bed is not None and check_bed_mode(config.bed_mode) == "filter":
         reads = intervals.without_reads(reads, bed, config.region_size, contigs)
-    return bases.on_reference(bases.with_mates(reads), reference, width)
+    return bases.with_mates(reads)
 
 
 def _aligned(reads: DataFrame, config: MismatchConfig, mask: DataFrame | None) -> DataFrame:
@@ -31,7 +31,7 @@ def _aligned(reads: DataFrame, config: MismatchConfig, mask: DataFrame | None) -
 
 def aligned_bases(alignments: DataFrame, reference: DataFrame, config: MismatchConfig, width: int = bases.WIDTH) -> DataFrame:
     """The aligned bases that count, without clips and intervals; narrow but for the join with the reference."""
-    return _aligned(_reads(alignments, reference, config, width, None, None), config, None)
+    return _aligned(bases.on_reference(_reads(alignments, config, None, None), reference, width), config, None)
 
 
 def placed(rows: DataFrame, config: MismatchConfig, longest: int) -> DataFrame:
@@ -49,11 +49,13 @@ def placed(rows: DataFrame, config: MismatchConfig, longest: int) -> DataFrame:
 def counted_bases(alignments: DataFrame, reference: DataFrame, config: MismatchConfig, longest: int, bed: DataFrame | None = None, contigs: DataFrame | None = None, width: int = bases.WIDTH) -> DataFrame:
     """A row for each base that counts: base_change, read_num, reference_order, base_position, source (align, clip)."""
     mask = bed if bed is not None and check_bed_mode(config.bed_mode) == "mask" else None
-    reads = _reads(alignments, reference, config, width, bed, contigs)
-    clips = bases.masked(bases.clipped(reads, _KEEP), mask)
+    reads = _reads(alignments, config, bed, contigs)
+    # few reads have clips: only those go a second time to the reference
+    with_clips = bases.on_reference(reads.where(bases.has_clips()), reference, width)
+    clips = bases.masked(bases.clipped(with_clips, _KEEP), mask)
     matches = F.avg((F.col("read_base") == F.col("ref_base")).cast("double")).over(W.partitionBy("rec_idx", "side"))
     clips = clips.withColumn("identity", matches).where(F.col("identity") >= config.softclip_identity).drop("identity", "side")
-    return placed(_aligned(reads, config, mask).unionByName(clips.withColumn("source", F.lit("clip"))), config, longest)
+    return placed(_aligned(bases.on_reference(reads, reference, width), config, mask).unionByName(clips.withColumn("source", F.lit("clip"))), config, longest)
 
 
 def mismatch_counts(alignments: DataFrame, reference: DataFrame, config: MismatchConfig = MismatchConfig(), bed: DataFrame | None = None, contigs: DataFrame | None = None, longest: int | None = None, width: int = bases.WIDTH) -> DataFrame:
