@@ -34,8 +34,16 @@ CAPACITY = 4096
 TOKENIZER = "word_bpe_49k.json"
 END = 1
 #: Words that a task keeps with their ids; more than that are encoded again.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 600_000
 _MARK = b"\x01"
+_LETTER, _STOP = (np.isin(np.arange(256), list(x)) for x in (b"abcdefghijklmnopqrstuvwxyz", b".,"))
+
+
+def _spaced(text: bytes) -> bytes:
+    """With a space between each a-z and a stop or comma behind it."""
+    a = np.frombuffer(text, np.uint8)
+    at = np.flatnonzero(_LETTER[a[:-1]] & _STOP[a[1:]]) + 1
+    return np.insert(a, at, 32).tobytes() if len(at) else text
 
 
 class WordEncoder:
@@ -50,14 +58,14 @@ class WordEncoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.of.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def learn(self, words: list[bytes]) -> None:
+    def learn(self, words: set[bytes]) -> None:
         """Encodes many words in one call, with a mark between them; words in which a mark or a special token may stand go alone."""
-        alone = [w for w in words if _MARK in w or b"<|" in w]
+        alone = {w for w in words if _MARK in w or b"<|" in w}
         for w in alone:
             self.known[w] = self._ids(w.decode()).tobytes()
-        words = [w for w in words if _MARK not in w and b"<|" not in w] if alone else words
-        for i in range(0, len(words), 512):
-            part = words[i : i + 512]
+        rest = list(words - alone)
+        for i in range(0, len(rest), 1 << 16):
+            part = rest[i : i + (1 << 16)]
             ids = self._ids(b" \x01 ".join(part).decode())
             ends = np.flatnonzero(ids == self.mark)
             if len(ends) != len(part) - 1:
@@ -67,17 +75,26 @@ class WordEncoder:
             self.known.update(zip(part, (raw[a:b] for a, b in zip(cuts, lasts, strict=True)), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.lower().split() for t in texts]  # upper-case ASCII letters have the ids of lower-case ones
-        out, known = [], self.known
-        for words in split:
-            new = {w for w in words if w not in known}
-            if new:
-                if len(known) + len(new) > KEPT_WORDS:
-                    known.clear()
-                    new = set(words)
-                self.learn(sorted(new))
-            out.append(b"".join([known[w] for w in words]))
-        return out
+        # upper-case ASCII letters have the ids of lower-case ones; the tokenizer itself cuts between a letter and a stop
+        split = [_spaced(t.lower()).split() for t in texts]
+        words = set().union(*split)
+        new = words - self.known.keys()
+        if len(self.known) + len(new) > KEPT_WORDS:
+            self.known.clear()
+            new = words
+        self.learn(new)
+        known = self.known
+        return [b"".join([known[w] for w in x]) for x in split]
+
+
+def _groups(texts: list[bytes], most: int = 8 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts in groups of about most bytes, each with the number of its first."""
+    first = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= most or i == len(texts) - 1:
+            yield first, texts[first : i + 1]
+            first, size = i + 1, 0
 
 
 def _pieces(path: str | None, capacity: int):
@@ -91,13 +108,13 @@ def _pieces(path: str | None, capacity: int):
         for b in batches:
             encoder = encoder or WordEncoder(place)
             rows: list[tuple] = []
-            texts = b.column("text")
-            for at in range(b.num_rows):
-                ids = encoder.encode([texts[at].as_py()])[0] + end
-                doc = b.column("doc_id")[at].as_py()
-                for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[start : start + 4 * capacity]
-                    rows.append((doc, piece, start // 4, len(part) // 4, zlib.crc32(part)))
+            docs = b.column("doc_id").to_pylist()
+            for first, texts in _groups(b.column("text").to_pylist()):
+                for doc, ids in zip(docs[first:], encoder.encode(texts), strict=False):
+                    ids += end
+                    for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[start : start + 4 * capacity]
+                        rows.append((doc, piece, start // 4, len(part) // 4, zlib.crc32(part)))
             names, kinds = ("doc_id", "piece", "start", "length", "ids_crc32"), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], list(names))
 
