@@ -169,22 +169,27 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def removals(docs: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
     """Per document: doc_id, tag (of its text), n_words, n_removed, sha (of the words kept) and spans (start and end, in words, of what goes)."""
+    if not 0 < k <= span <= k + 62:
+        raise ValueError("a window has from 1 to 63 seeds")
     rows = staged(_keyed(docs).mapInArrow(_seeds(span, k), "doc_id long, place long, anchor long, whole long, tag long, n_words long, sha binary"), "seeds")
     seeds = rows.where("anchor is not null").select("doc_id", "place", "anchor", "whole")
-    common = seeds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    common = seeds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # the side that is grouped is a table of its own in each join by anchor or window, so that Spark can split hot ones
+    common = staged(common, "common")
     shared = staged(seeds.join(common, "anchor", "left_semi"), "shared")
     classes = staged(shared.groupBy("anchor", "whole").agg(F.min("doc_id").alias("first")), "classes")
-    several = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", F.lit(True).alias("several"))
+    several = staged(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", F.lit(True).alias("several")), "several")
     known = classes.join(several, "anchor", "left").select(F.col("anchor").alias("a"), F.col("whole").alias("w"), "first", "several")
     met = shared.join(known, (F.col("anchor") == F.col("a")) & (F.col("whole") == F.col("w"))).where("doc_id > first or several")
     marked = met.groupBy("doc_id", F.shiftright("place", 46).alias("tag")).agg(F.collect_list(F.struct("place", "anchor", (F.col("doc_id") == F.col("first")).alias("open"))).alias("runs"))
     texts = staged(_keyed(docs).join(marked, ["doc_id", "tag"]), "repeats")
-    discard(shared, classes)
+    discard(shared, classes, common, several)
     windows = staged(texts.mapInArrow(_windows(span), "doc_id long, tag long, start long, anchor long, window long"), "windows")
     least = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select(F.col("anchor").alias("a"), F.col("window").alias("w"), "first")
+    least = staged(least, "least")
     gone = windows.join(least, (F.col("anchor") == F.col("a")) & (F.col("window") == F.col("w"))).where("doc_id > first")
     starts = staged(gone.groupBy("doc_id", "tag").agg(F.collect_set("start").alias("starts")), "starts")
-    discard(windows)
+    discard(windows, least)
     changed = texts.join(starts, ["doc_id", "tag"], "left").mapInArrow(_removed(span), "doc_id long, tag long, n_removed long, sha binary, spans array<struct<start: long, end: long>>")
     changed = staged(changed.dropDuplicates(["doc_id", "tag"]), "changed").select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), "n_removed", F.col("sha").alias("kept"), "spans")
     discard(texts)
