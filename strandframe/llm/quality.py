@@ -127,7 +127,8 @@ def judge(rows: DataFrame, limits: DataFrame) -> DataFrame:
 def quality_rules(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
     rows = rates(staged(features(docs), "features"))
-    return judge(rows, thresholds(rows)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    # as a table the thresholds have a known size: a row a language and source is broadcast unless it is too large
+    return judge(rows, staged(thresholds(rows), "thresholds")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
