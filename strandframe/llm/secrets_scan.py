@@ -77,8 +77,9 @@ class Ledger:
         new = versions.alias("v").join(unseen.alias("u"), F.expr("v.path <=> u.path and v.blob = u.blob"), "left_semi").select("blob", "text")
         found = new.mapInArrow(_scan, f"blob binary, findings {FINDING}")
         found.write.option("compression", "zstd").parquet(f"{self.at}/run={uuid.uuid4().hex}")
-        # most blobs have no finding: only the others take part in the join
-        return paths.join(self.rows().where(F.size("findings") > 0), "blob", "left").select("path", "blob", F.coalesce("findings", F.array().cast(FINDING)).alias("findings"))
+        # most blobs have no finding: only the others take part in the join, as a table, so that Spark can split hot blobs
+        some = staged(self.rows().where(F.size("findings") > 0), "found")
+        return paths.join(some, "blob", "left").select("path", "blob", F.coalesce("findings", F.array().cast(FINDING)).alias("findings"))
 
 
 def digest(scanned: DataFrame) -> DataFrame:
