@@ -132,10 +132,14 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that quality_rules keeps, with all their columns. Texts aren't moved: thresholds come to the documents."""
-    limits = staged(thresholds(rates(staged(features(docs), "features"))), "thresholds")
+    """The documents that quality_rules keeps, with all their columns.
+
+    They are staged with their features, so that a text is looked at once: a filter on a computed feature would be pushed
+    below it and compute it again, several times.
+    """
     columns = docs.columns
-    rows = rates(features(docs.withColumn("whole", F.struct(*columns)), ("whole", "lang", "source")))
+    rows = rates(staged(features(docs.withColumn("whole", F.struct(*columns)), ("whole", "lang", "source")), "features"))
+    limits = staged(thresholds(rows), "thresholds")
     return judge(rows, limits).where("kept").select(*(F.col(f"whole.`{c}`").alias(c) for c in columns))
 
 
