@@ -86,28 +86,26 @@ def variants(words: list[bytes], sides: int, powers: Powers) -> tuple[np.ndarray
     return np.append(at, -1), np.append(_mixed(left + up[1:2] * np.uint64(n - 1)), _mixed(s[n : n + 1] + up[1:2] * np.uint64(n)))
 
 
-def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    powers = Powers()
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of the lines in marks. code: the text's tag, shifted by 31 bits, and the line's number."""
     for b in batches:
-        found = []
+        rows = []
         for doc, tag, text, marked in zip(b.column("doc_id"), b.column("tag"), b.column("text"), b.column("marks"), strict=True):
-            lines = None
-            for x in marked.as_py():
-                if x["sides"]:
-                    lines = lines or text.as_py().split(b"\n")
-                    at, hashes = variants(line_words(lines[x["line"]]), x["sides"], powers)
-                    found.append((hashes.view(np.int64), at, np.full(len(at), doc.as_py()), np.full(len(at), tag.as_py() << 31 | x["line"])))
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["variant", "at", "doc_id", "line"])
+            lines, doc, tag = text.as_py().split(b"\n"), doc.as_py(), tag.as_py()
+            rows += [(doc, tag << 31 | x["line"], x["sides"], b" ".join(line_words(lines[x["line"]]))) for x in marked.as_py()]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_id", "code", "sides", "words"])
 
 
-def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    powers = Powers()
     for b in batches:
-        rows = []
-        for doc, text, wanted in zip(b.column("doc_id"), b.column("text"), b.column("lines"), strict=True):
-            lines = text.as_py().split(b"\n")
-            rows += [(doc.as_py(), x, line_words(lines[x % (1 << 31)])) for x in sorted(set(wanted.as_py()))]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.binary()))], ["doc_id", "line", "words"])
+        found = []
+        for doc, code, sides, words in zip(*(b.column(c) for c in ("doc_id", "code", "sides", "words")), strict=True):
+            at, hashes = variants(words.as_py().split(), sides.as_py(), powers)
+            found.append((hashes.view(np.int64), at.astype(np.int32), np.full(len(at), doc.as_py()), np.full(len(at), code.as_py())))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["variant", "at", "doc_id", "code"])
 
 
 def within_one(a: list[bytes], b: list[bytes]) -> bool:
@@ -124,61 +122,61 @@ def within_one(a: list[bytes], b: list[bytes]) -> bool:
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield b.select(["doc_id", "line"]).filter(pa.array([within_one(x.as_py(), y.as_py()) for x, y in zip(b.column("words"), b.column("other"), strict=True)], pa.bool_()))
+        yield b.select(["doc_id", "code"]).filter(pa.array([within_one(x.as_py().split(), y.as_py().split()) for x, y in zip(b.column("words"), b.column("other"), strict=True)], pa.bool_()))
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        for text, marked, near in zip(b.column("text"), b.column("marks"), b.column("near"), strict=True):
-            equal = {x["line"] for x in marked.as_py() if not x["sides"]}
-            gone = equal | set(near.as_py() or ())
+        for text, equal, near in zip(b.column("text"), b.column("equal"), b.column("near"), strict=True):
+            equal, near = set(equal.as_py() or ()), set(near.as_py() or ())
+            gone = equal | near
             kept = b"\n".join(x for i, x in enumerate(text.as_py().split(b"\n")) if i not in gone)
             rows.append((len(equal), len(gone) - len(equal), hashlib.sha256(kept).digest(), sorted(gone)))
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tag"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.list_(pa.int32()))], ["doc_id", "tag", "n_equal", "n_near", "sha", "gone"])
 
 
 def _neighbours(cells: DataFrame) -> DataFrame:
-    """Of rows (variant, at, doc_id, line; line: the text's tag, shifted by 31 bits, and the number): each line with its earliest neighbour, if that is earlier than the line."""
-    place = F.struct("doc_id", "line")
+    """Of rows (variant, at, doc_id, code): each line with its earliest neighbour, if that is earlier than the line."""
+    place = F.struct("doc_id", "code")
     groups = cells.groupBy("variant", "at").agg(F.min(place).alias("least"), F.max(place).alias("most"))
     both = groups.groupBy("variant").agg(F.min(F.when(F.col("at") < 0, F.col("least"))).alias("whole"), F.min(F.when(F.col("at") >= 0, F.col("least"))).alias("cut")).select(F.col("variant").alias("v"), "whole", "cut")
     other = F.when(F.col("at") < 0, F.col("cut")).otherwise(F.least("least", F.coalesce("whole", "least")))
-    useful = groups.join(both, F.col("variant") == F.col("v")).select(F.col("variant").alias("v"), F.col("at").alias("p"), "most", other.alias("other")).where("other < most")
+    useful = staged(groups.join(both, F.col("variant") == F.col("v")).select(F.col("variant").alias("v"), F.col("at").alias("p"), "most", other.alias("other")).where("other < most").drop("most"), "useful")
     met = cells.join(useful, (F.col("variant") == F.col("v")) & (F.col("at") == F.col("p"))).where(F.col("other") < place)
-    return met.groupBy("doc_id", "line").agg(F.min("other").alias("other")).select("doc_id", "line", F.col("other.doc_id").alias("other_doc"), F.col("other.line").alias("other_line"))
+    return met.groupBy("doc_id", "code").agg(F.min("other").alias("other")).select("doc_id", "code", F.col("other.doc_id").alias("other_doc"), F.col("other.code").alias("other_code"))
 
 
 def removals(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """Per document: doc_id, tag (of its text), n_lines, n_equal and n_near (lines that go), sha (of the text kept) and gone (their numbers)."""
     rows = staged(_keyed(docs).mapInArrow(_lines(least_words), "doc_id long, tag long, line int, a long, b long, halves array<long>, n_lines long, sha binary"), "lines")
-    lines = rows.where("line is not null")
-    place = F.struct("doc_id", "tag", "line")
-    distinct = staged(lines.groupBy("a", "b").agg(F.min(place).alias("first"), F.first("halves").alias("halves")), "distinct")
-    parts = distinct.select("a", "b", F.explode(F.array_distinct("halves")).alias("half"))
-    shared = staged(parts.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half"), "shared")  # a table of its own, so that Spark can split the join's hot halves
-    sides = parts.join(shared, "half", "left_semi").groupBy("a", "b").agg(F.bit_or(F.when(F.col("half") % 2 == 0, PREFIX).otherwise(SUFFIX)).alias("sides"))
-    known = staged(distinct.select("a", "b", "first").join(sides, ["a", "b"], "left"), "known").select(F.col("a").alias("x"), F.col("b").alias("y"), "first", "sides")
-    discard(distinct)
-    # sides 0 or null: an equal line is earlier, or nothing is to be done
-    met = lines.select("doc_id", "line", "tag", "a", "b").join(known, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")))
-    again = place != F.col("first")
-    flagged = met.where(again | F.col("sides").isNotNull()).select("doc_id", "tag", "line", F.when(again, 0).otherwise(F.col("sides")).alias("sides"))
-    marks = flagged.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("line", "sides")).alias("marks"))
-    texts = staged(_keyed(docs).join(marks, ["doc_id", "tag"]), "marked")
-    discard(known)
-    cells = staged(texts.mapInArrow(_variants, "variant long, at long, doc_id long, line long").distinct(), "variants")
+    lines = rows.where("line is not null").withColumn("code", F.shiftleft("tag", 31).bitwiseOR(F.col("line").cast("long")))
+    # halves: lines are told apart by one hash here; if two shared it, they would be looked at in vain
+    parts = lines.select("a", F.explode(F.array_distinct("halves")).alias("half"))
+    shared = staged(parts.groupBy("half").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low < high").select("half"), "shared")  # a table of its own, so that Spark can split the join's hot halves
+    sides = staged(parts.join(shared, "half", "left_semi").groupBy("a").agg(F.bit_or(F.when(F.col("half") % 2 == 0, PREFIX).otherwise(SUFFIX)).alias("sides")), "sides")
+    discard(shared)
+    # the first occurrence of each distinct line; all others go
+    first = staged(lines.groupBy("a", "b").agg(F.min(F.struct("doc_id", "code")).alias("first"), F.count(F.lit(1)).alias("n")), "first")
+    several = first.where("n > 1").select(F.col("a").alias("x"), F.col("b").alias("y"), "first")
+    again = lines.join(several, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y"))).where(F.struct("doc_id", "code") != F.col("first"))
+    equal = staged(again.groupBy("doc_id", "tag").agg(F.collect_set("line").alias("equal")), "equal")
+    candidates = first.join(sides, "a").select("first.doc_id", F.shiftright("first.code", 31).alias("tag"), F.struct((F.col("first.code") % (1 << 31)).cast("int").alias("line"), "sides").alias("mark"))
+    marks = candidates.groupBy("doc_id", "tag").agg(F.collect_set("mark").alias("marks"))
+    texts = staged(_keyed(docs).join(marks.hint("merge"), ["doc_id", "tag"]).mapInArrow(_candidates, "doc_id long, code long, sides int, words binary").dropDuplicates(["doc_id", "code"]), "candidates")
+    discard(first, sides)
+    cells = staged(texts.mapInArrow(_variants, "variant long, at int, doc_id long, code long"), "variants")
     pairs = staged(_neighbours(cells), "neighbours")
     discard(cells)
-    ends = pairs.select("doc_id", "line").union(pairs.select("other_doc", "other_line")).groupBy("doc_id", F.shiftright("line", 31).alias("tag")).agg(F.collect_set("line").alias("lines"))
-    wanted = staged(texts.select("doc_id", "tag", "text").join(ends, ["doc_id", "tag"]).select("doc_id", "text", "lines").mapInArrow(_wanted, "doc_id long, line long, words array<binary>"), "wanted").dropDuplicates(["doc_id", "line"])
-    one, two = wanted.alias("l"), wanted.alias("o")
-    met = pairs.alias("p").join(one, F.expr("p.doc_id = l.doc_id and p.line = l.line")).join(two, F.expr("p.other_doc = o.doc_id and p.other_line = o.line"))
-    near = met.select("p.doc_id", F.col("p.line").alias("line"), F.col("l.words").alias("words"), F.col("o.words").alias("other")).mapInArrow(_verified, "doc_id long, line long")
-    near = staged(near.groupBy("doc_id", F.shiftright("line", 31).alias("tag")).agg(F.collect_set((F.col("line") % (1 << 31)).cast("int")).alias("near")), "near")
-    changed = texts.join(near, ["doc_id", "tag"], "left").mapInArrow(_cleaned, "doc_id long, tag long, n_equal long, n_near long, sha binary, gone array<int>")
-    changed = staged(changed.where("n_equal + n_near > 0").dropDuplicates(["doc_id", "tag"]), "changed")
+    one, two = texts.select("doc_id", "code", "words").alias("l"), texts.select("doc_id", "code", "words").alias("o")
+    met = pairs.alias("p").join(one, F.expr("p.doc_id = l.doc_id and p.code = l.code")).join(two, F.expr("p.other_doc = o.doc_id and p.other_code = o.code"))
+    near = met.select("p.doc_id", "p.code", "l.words", F.col("o.words").alias("other")).mapInArrow(_verified, "doc_id long, code long")
+    near = near.groupBy("doc_id", F.shiftright("code", 31).alias("tag")).agg(F.collect_set((F.col("code") % (1 << 31)).cast("int")).alias("near"))
+    gone = staged(equal.join(near, ["doc_id", "tag"], "full"), "gone")
     discard(texts)
+    # joins with whole texts are merge joins at every size: what is joined grows with the corpus
+    changed = _keyed(docs).join(gone.hint("merge"), ["doc_id", "tag"]).mapInArrow(_cleaned, "doc_id long, tag long, n_equal long, n_near long, sha binary, gone array<int>")
+    changed = staged(changed.dropDuplicates(["doc_id", "tag"]), "changed")
     changed = changed.select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), "n_equal", "n_near", F.col("sha").alias("kept"), "gone")
     out = rows.where("line is null").select("doc_id", "tag", "n_lines", "sha").join(changed, (F.col("doc_id") == F.col("d")) & (F.col("tag") == F.col("t")), "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
@@ -190,7 +188,7 @@ def cleaned_documents(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     found = removals(docs, least_words).where("gone is not null")
     gone = staged(found.groupBy("doc_id", "tag").agg(F.first("gone").alias("gone")).select(F.col("doc_id").alias("strandframe_id"), F.col("tag").alias("strandframe_tag"), F.col("gone").alias("strandframe_gone")), "gone")
     tag = F.shiftrightunsigned(F.xxhash64(text_of().cast("binary")), 47)
-    met = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("strandframe_id")) & (tag == F.col("strandframe_tag")), "left")
+    met = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("strandframe_id")) & (tag == F.col("strandframe_tag")), "left")
     numbers = F.col("strandframe_gone")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(numbers, i)), "\n")
     return met.withColumn("text", F.when(numbers.isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
