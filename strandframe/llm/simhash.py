@@ -23,11 +23,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandframe.llm.common import read, staged, text_of
 from strandframe.llm.components import connected
+from strandframe.llm.near import first_documents  # noqa: F401  the pipeline's stage, by its own contract
 
 SEED = 42
 SHINGLE = 3
@@ -140,14 +140,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     return rows.join(named, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_documents(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """One document of each component, the one with the smallest id, with all its columns."""
-    kept = near_duplicates(docs, shingle, threshold).groupBy("component_id").agg(F.min("doc_id").alias("kept_id"))
-    met = docs.join(kept.select("kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    once = met.withColumn("strandframe_row", F.row_number().over(W.partitionBy("doc_id").orderBy("doc_id")))  # repeated rows
-    return once.where("strandframe_row = 1").drop("strandframe_row")
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
