@@ -14,9 +14,9 @@ from strandframe.plans import fixtures as fx
 CONFIG = DiagnosticsConfig(min_count=3, min_depth=8, region_size=fx.REGION)
 
 
-def _found(part: str, config: DiagnosticsConfig, with_bed: bool = False):
+def found(part: str, config: DiagnosticsConfig, with_bed: bool = False, table=fx.bed):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        bed = fx.bed(spark, sf_dir) if with_bed else None
+        bed = table(spark, sf_dir) if with_bed else None
         out = diagnostics.diagnose(fx.alignments(spark, sf_dir), fx.reference(spark, sf_dir), config, bed, fx.contigs(spark, sf_dir), fx.WIDTH)[part]
         return out.withColumnRenamed("g_pos", "position") if part == "depth" else out
 
@@ -60,7 +60,7 @@ _ENDS = {
 
 
 def _query(part: str, config: DiagnosticsConfig = CONFIG, with_bed: bool = False) -> tuple:
-    return _found(part, config, with_bed), _sql(config, with_bed) + _ENDS[part]
+    return found(part, config, with_bed), _sql(config, with_bed) + _ENDS[part]
 
 
 _MATRIX = "mat as (select distinct 1 + n_nationkey % 2 as read_num, position, 'ACGT'[(n_nationkey % 4 + 1)::int] as ref_base, 'ACGT'[((n_nationkey + 1 + (n_nationkey // 4) % 3) % 4 + 1)::int] as read_base, (0.25 * (1 + n_nationkey % 6))::float as f from nation, (select unnest(range(24)) as position))"
@@ -135,7 +135,7 @@ QUERIES = {
     "clip_mismatches": (_clips, _CLIP_SQL),
     "insert_merge_canonical": (_merged, _MERGED_SQL),
     "wide_position_table": (_wide, _WIDE_SQL),
-    "wide_inconsistency_table": (lambda spark, sf_dir: legacy.wide_inconsistencies(_found("inconsistencies", CONFIG)(spark, sf_dir), ["R1:A_R2:C", "R1:C_R2:A"]), _WIDE_INC_SQL),
+    "wide_inconsistency_table": (lambda spark, sf_dir: legacy.wide_inconsistencies(found("inconsistencies", CONFIG)(spark, sf_dir), ["R1:A_R2:C", "R1:C_R2:A"]), _WIDE_INC_SQL),
     "read_counters": (_counters, _sql(CONFIG) + " select count(*) as total_records, count(*) filter (paired2 and rn = 1) as overlap_pairs from q2"),
     "rescaled_bases": (_changed, _new_qualities("a.clip") + " select rec_idx, r_pos, new_qual from new"),
     "rescale_quality": (_rescaled, _new_qualities("a.clip") + " select b.rec_idx, string_agg(coalesce(new_qual, qual)::varchar, ',' order by j) as qualities from bases b left join new on b.rec_idx = new.rec_idx and b.j = new.r_pos group by 1"),

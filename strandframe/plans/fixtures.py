@@ -84,6 +84,12 @@ def bed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.join(contigs(spark, sf_dir), "tid").select("contig", "start", "end")
 
 
+def bed_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An interval for each row of part; they start at 19 places of a contig, so that much of it stays uncovered at any size."""
+    part = _read(spark, sf_dir, "part").selectExpr("int(p_partkey % 5) as tid", "(p_partkey * 41) % 19 * 50 as start", "(p_partkey * 41) % 19 * 50 + 1 + p_size % 20 as end")
+    return part.join(contigs(spark, sf_dir), "tid").select("contig", "start", "end")
+
+
 _CLASSES = "'A>C', 'A>G', 'A>T', 'C>A', 'C>G', 'C>T', 'G>A', 'G>C', 'G>T', 'T>A', 'T>C', 'T>G'"
 
 
@@ -92,6 +98,11 @@ def discounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr(f"array({_CLASSES})[int(s_suppkey % 12)] as base_change", "int(1 + s_suppkey % 2) as read_num", "1 + s_suppkey % 24 as base_position", "s_suppkey % 7 as discount_count")
 
 
+def discounts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "supplier")
+    return rows.selectExpr(f"array({_CLASSES})[int(s_suppkey % 12)] as base_change", "int(1 + s_suppkey % 2) as read_num", "1 + s_suppkey % 24 as base_position", "s_suppkey % 7 as discount_count")
+
+
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "nation")
     letter = lambda x: f"substring('ACGT', int(({x}) % 4) + 1, 1)"
@@ -102,6 +113,8 @@ def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BED = f"bed as (select r_name as contig, (p_partkey * 41) % 950 as b0, (p_partkey * 41) % 950 + 1 + p_size % 20 as b1 from part join region on r_regionkey = p_partkey % 5 where p_partkey < 40)"  # noqa: F541
 DISCOUNTS = f"disc as (select [{_CLASSES}][(1 + s_suppkey % 12)::int] as base_change, (1 + s_suppkey % 2)::int as read_num, 1 + s_suppkey % 24 as base_position, sum(s_suppkey % 7)::bigint as d from supplier where s_suppkey < 60 group by all)"
+BED_WHOLE = "bed as (select r_name as contig, (p_partkey * 41) % 19 * 50 as b0, (p_partkey * 41) % 19 * 50 + 1 + p_size % 20 as b1 from part join region on r_regionkey = p_partkey % 5)"
+DISCOUNTS_WHOLE = f"disc as (select [{_CLASSES}][(1 + s_suppkey % 12)::int] as base_change, (1 + s_suppkey % 2)::int as read_num, 1 + s_suppkey % 24 as base_position, sum(s_suppkey % 7)::bigint as d from supplier group by all)"
 
 #: Every read base: kind (align, clip, ins), offset j, place g, letters, quality; is_rev, read_num, ord, mate_stop, fragment, overlap.
 BASES = f"""

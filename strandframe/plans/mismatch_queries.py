@@ -15,8 +15,8 @@ CONFIG = MismatchConfig(region_size=fx.REGION)
 READ_CUT = replace(CONFIG, position_mode="read")
 
 
-def counts(spark: SparkSession, sf_dir: str, config: MismatchConfig, with_bed: bool = False) -> DataFrame:
-    table = fx.bed(spark, sf_dir) if with_bed else None
+def counts(spark: SparkSession, sf_dir: str, config: MismatchConfig, with_bed: bool = False, bed=fx.bed) -> DataFrame:
+    table = bed(spark, sf_dir) if with_bed else None
     return mismatch.mismatch_counts(fx.alignments(spark, sf_dir), fx.reference(spark, sf_dir), config, table, fx.contigs(spark, sf_dir), width=fx.WIDTH)
 
 

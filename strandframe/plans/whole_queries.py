@@ -1,0 +1,31 @@
+"""The queries over intervals and discounts again, with a row for each row of part and supplier; their oracles differ in those tables alone."""
+
+from __future__ import annotations
+
+from dataclasses import replace
+
+from strandframe.operators import intervals, mismatch
+from strandframe.plans import diagnostics_queries as dq
+from strandframe.plans import fixtures as fx
+from strandframe.plans import mismatch_queries as mq
+
+_CUT_FILTER, _FILTER = replace(mq.READ_CUT, bed_mode="filter"), replace(dq.CONFIG, bed_mode="filter")
+_RUNS = {
+    "mismatch_bed_mask": lambda spark, sf_dir: mq.counts(spark, sf_dir, mq.READ_CUT, True, fx.bed_whole),
+    "mismatch_bed_filter": lambda spark, sf_dir: mq.counts(spark, sf_dir, _CUT_FILTER, True, fx.bed_whole),
+    "bed_merge": lambda spark, sf_dir: intervals.merged(fx.bed_whole(spark, sf_dir)),
+    "bed_masked_bases": lambda spark, sf_dir: intervals.masked_count(fx.bed_whole(spark, sf_dir), fx.contigs(spark, sf_dir)),
+    "depth_bed_filter": dq.found("depth", _FILTER, True, fx.bed_whole),
+    "variants_bed_mask": dq.found("variants", dq.CONFIG, True, fx.bed_whole),
+    "variants_bed_filter": dq.found("variants", _FILTER, True, fx.bed_whole),
+    "discount_apply": lambda spark, sf_dir: mismatch.apply_discounts(mq.counts(spark, sf_dir, mq.READ_CUT), fx.discounts_whole(spark, sf_dir)),
+    "discount_touched": lambda spark, sf_dir: mismatch.touched_keys(mq.counts(spark, sf_dir, mq.READ_CUT), fx.discounts_whole(spark, sf_dir)),
+}
+
+
+def _sql(name: str) -> str:
+    text = (mq.QUERIES | dq.QUERIES)[name][1]
+    return text.replace(fx.BED, fx.BED_WHOLE).replace(fx.DISCOUNTS, fx.DISCOUNTS_WHOLE)
+
+
+QUERIES = {f"{name}_whole": (run, _sql(name)) for name, run in _RUNS.items()}
