@@ -10,7 +10,8 @@ Documents are then numbered within their length (by counts of hashed bins, so th
 and look up their place in the plan.
 
 A text's ids are those of its words between ASCII white space, in turn: the tokenizer's own pre-tokenizer never joins
-across white space. So each task encodes a word once and keeps a bounded table of them.
+across white space. So a word is encoded once and kept in a bounded table, one for each Python worker, whatever the number of
+tasks that it runs. Words in which a special token may stand are encoded as they are written, since those have a case.
 
 Defined cases: a null or empty text is the end id alone; a null id is an id; repeated rows are packed as often as they occur;
 other columns are ignored; only documents longer than the capacity are cut; an empty table gives an empty result.
@@ -18,12 +19,15 @@ other columns are ignored; only documents longer than the capacity are cut; an e
 
 from __future__ import annotations
 
+import sys
+import types
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,26 +37,46 @@ from strandframe.llm.common import read, shuffle_partitions, staged, text_of
 CAPACITY = 4096
 TOKENIZER = "word_bpe_49k.json"
 END = 1
-#: Words that a task keeps with their ids; more than that are encoded again.
-KEPT_WORDS = 600_000
+#: Words that a worker keeps with their ids: twice this number at most; those that weren't met for long are encoded again.
+KEPT_WORDS = 400_000
 _MARK = b"\x01"
-_LETTER, _STOP = (np.isin(np.arange(256), list(x)) for x in (b"abcdefghijklmnopqrstuvwxyz", b".,"))
+_SPECIAL = b"<|"
+_LETTER = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz"))
+#: ASCII punctuation; a letter and such a character are never in one token of the pre-tokenizer
+_STOP = np.isin(np.arange(256), [x for x in range(33, 127) if not chr(x).isalnum()])
+#: second bytes of the letters from U+00C0 to U+00FF, behind LEAD
+_LEAD, _LATIN = 0xC3, np.isin(np.arange(256), [x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)])
 
 
-def _spaced(text: bytes) -> bytes:
-    """With a space between each a-z and a stop or comma behind it."""
+def _spaced(text: bytes) -> tuple[bytes, np.ndarray]:
+    """With a space between each letter (a-z or of Latin-1) and ASCII punctuation behind it; and where in text those spaces go."""
     a = np.frombuffer(text, np.uint8)
-    at = np.flatnonzero(_LETTER[a[:-1]] & _STOP[a[1:]]) + 1
-    return np.insert(a, at, 32).tobytes() if len(at) else text
+    at = np.flatnonzero(_STOP[a])
+    at = at[at > 0]
+    before = a[at - 1]
+    latin = _LATIN[before] & (a[at - 2] == _LEAD) & (at > 1)
+    at = at[_LETTER[before] | latin]
+    return np.insert(a, at, 32).tobytes(), at
+
+
+def _split(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts as they are looked up (in lower case and cut before punctuation), and where each text's begin and end among them."""
+    ends = np.cumsum([0, *map(len, texts)])
+    blob, spaces = _spaced(b"".join(texts).lower())
+    ends += np.searchsorted(spaces, ends)
+    lists = pc.ascii_split_whitespace(pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(ends), pa.py_buffer(blob)))
+    return lists.values.cast(pa.large_binary()), lists.offsets.to_numpy()
 
 
 class WordEncoder:
     """bytes of ids (little-endian uint32) of a text in UTF-8."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = KEPT_WORDS) -> None:
         from tokenizers import Tokenizer
 
-        self.of, self.known = Tokenizer.from_file(path), {}
+        self.of, self.most = Tokenizer.from_file(path), most
+        self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         (self.mark,) = self._ids(_MARK.decode())
 
     def _ids(self, text: str) -> np.ndarray:
@@ -60,7 +84,7 @@ class WordEncoder:
 
     def learn(self, words: set[bytes]) -> None:
         """Encodes many words in one call, with a mark between them; words in which a mark or a special token may stand go alone."""
-        alone = {w for w in words if _MARK in w or b"<|" in w}
+        alone = {w for w in words if _MARK in w or _SPECIAL in w}
         for w in alone:
             self.known[w] = self._ids(w.decode()).tobytes()
         rest = list(words - alone)
@@ -74,17 +98,46 @@ class WordEncoder:
             lasts = [*(4 * ends).tolist(), len(raw)]
             self.known.update(zip(part, (raw[a:b] for a, b in zip(cuts, lasts, strict=True)), strict=True))
 
+    def _of(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words."""
+        if len(self.known) + len(words) > self.most:
+            self.known, self.before = {}, self.known
+        new = set(words) - self.known.keys()
+        again = new & self.before.keys()
+        self.known.update((w, self.before[w]) for w in again)
+        self.learn(new - again)
+        return list(map(self.known.__getitem__, words))
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        # upper-case ASCII letters have the ids of lower-case ones; the tokenizer itself cuts between a letter and a stop
-        split = [_spaced(t.lower()).split() for t in texts]
-        words = set().union(*split)
-        new = words - self.known.keys()
-        if len(self.known) + len(new) > KEPT_WORDS:
-            self.known.clear()
-            new = words
-        self.learn(new)
-        known = self.known
-        return [b"".join([known[w] for w in x]) for x in split]
+        out: list[bytes] = []
+        plain = [_SPECIAL not in t for t in texts]
+        words, at = _split([t if p else b"" for t, p in zip(texts, plain, strict=True)])
+        coded = words.dictionary_encode()
+        ids = self._of(coded.dictionary.to_pylist())
+        sizes = np.array([len(x) // 4 for x in ids], np.int64)
+        table, codes = np.frombuffer(b"".join(ids), "<u4"), coded.indices.to_numpy()
+        long = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(long)])
+        raw = table[np.repeat((np.cumsum(sizes) - sizes)[codes] - ends[:-1], long) + np.arange(ends[-1])].tobytes()
+        cuts = (4 * ends[at]).tolist()
+        for t, p, x, y in zip(texts, plain, cuts, cuts[1:], strict=False):
+            out.append(raw[x:y] if p else self._with_special(t))
+        return out
+
+    def _with_special(self, text: bytes) -> bytes:
+        split = [x for w in text.split() for x in ([w] if _SPECIAL in w else _spaced(w.lower())[0].split())]
+        words = list(set(split))
+        of = dict(zip(words, self._of(words), strict=True))
+        return b"".join([of[w] for w in split])
+
+
+def worker_encoder(path: str) -> WordEncoder:
+    """The encoder of this Python worker, which outlives its tasks."""
+    kept = sys.modules.setdefault("strandframe_worker", types.ModuleType("strandframe_worker")).__dict__
+    key = f"words of {path}"
+    if key not in kept:
+        kept[key] = WordEncoder(path)
+    return kept[key]
 
 
 def _groups(texts: list[bytes], most: int = 8 << 20) -> Iterator[tuple[int, list[bytes]]]:
@@ -104,9 +157,8 @@ def _pieces(path: str | None, capacity: int):
             import public_tokenizers
 
             place = public_tokenizers.path(TOKENIZER)
-        encoder, end = None, np.uint32(END).tobytes()
+        encoder, end = worker_encoder(place), np.uint32(END).tobytes()
         for b in batches:
-            encoder = encoder or WordEncoder(place)
             rows: list[tuple] = []
             docs = b.column("doc_id").to_pylist()
             for first, texts in _groups(b.column("text").to_pylist()):

@@ -526,6 +526,21 @@ def test_word_encoder():
 
     path = public_tokenizers.path(packing.TOKENIZER)
     tokenizer, own = Tokenizer.from_file(path), packing.WordEncoder(path)
-    odd = ["", " ", "a b", "Foo<|endoftext|>bar, <|startoftext|> x", "it's I'LL ... ,., wow!?.", "\x01 a\x01b \x1c", "É é. ñ, ß; İI ΑΣ. Σ", "１２ 3.4,5 漢字。漢 字", "x́.. y.́ z", "😀.😀, hey!!", "#### $$$,", "a..b c.,d e?", "a'.s can't.,'"]
+    odd = ["", " ", "a b", "Foo<|endoftext|>bar, <|startoftext|> x", "it's I'LL ... ,., wow!?.", "\x01 a\x01b \x1c", "É é. ñ, ß; İI ΑΣ. Σ", "１２ 3.4,5 漢字。漢 字", "x́.. y.́ z", "😀.😀, hey!!", "#### $$$,", "a..b c.,d e?", "a'.s can't.,'", "<|ENDOFTEXT|>", "a <|EndOfText|> b", "X<|endoftext|>Y. <|Z", "aÉ. ß' ×, a÷. ≮ a_b", "<", "|>"]
+    r = random.Random(3)
+    signs = [*"abzAZ09 .,'!-_<>|\n\téÉñ×÷ßǅ…—́İΣ漢\x01", "'s", "'re", "<|", "|>", "<|endoftext|>", "<|EndOfText|>"]
+    odd += ["".join(r.choices(signs, k=r.randint(1, 14))) for _ in range(3000)]
     for text, ids in zip(odd, own.encode([t.encode() for t in odd]), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_word_encoder_forgets():
+    """Words that don't fit into the table are encoded again; the ids stay."""
+    import public_tokenizers
+
+    path = public_tokenizers.path(packing.TOKENIZER)
+    small, large = packing.WordEncoder(path, 50), packing.WordEncoder(path)
+    for i in range(0, 400, 20):
+        texts = [f"w{x} w{x // 3} again".encode() for x in range(i, i + 20)]
+        assert small.encode(texts) == large.encode(texts)
+        assert len(small.known) + len(small.before) < 200
