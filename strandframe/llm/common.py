@@ -27,15 +27,22 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACES), "")
 
 
+def quoted(columns: list[str]) -> list[Column]:
+    """Columns by their whole names, whatever characters are in them."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in columns]
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once a row, also where the body is evaluated for each element of an array."""
     return F.transform(F.array(value), body)[0]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset (tests, one machine) one of our own."""
+    """The folder all executors share: spark.checkpoint.dir, or where that is unset on one machine (local mode) one of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="strandframe-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

@@ -13,8 +13,8 @@ So copies cost one row a run however many there are, no pairs are made, and the
 with all others. Neighbouring windows that go are joined to maximal repeats. Runs and windows are compared by two hashes
 of 64 bits each (of the anchor and of the words).
 
-Defined cases: a null or empty text has no words; a null id is greater than all others; rows with one id are one document's
-(with the same text they get the same row each; with other texts each is judged by itself, and never against its namesakes);
+Defined cases: a null or empty text has no words; a null id stands last, where 2^63 - 1 is; rows with one id are one document's
+(with the same text they get the same row each; with other texts, told apart by 64 bits of hash, each is judged by itself, and never against its namesakes);
 texts shorter than SPAN words lose nothing; other columns are ignored; an empty table gives an empty result.
 """
 
@@ -35,8 +35,7 @@ SPAN, K = 50, 16
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LAST = (1 << 63) - 1
-#: place: a tag of the text (17 bits), the run's first window (34), its number of windows (6), the anchor's distance from the first window (6)
-_TAG = 1 << 46
+#: place: the run's first window, its number of windows (6 bits), the anchor's distance from the first window (6 bits)
 
 
 class Powers:
@@ -93,7 +92,7 @@ def runs(sums: Sums, n: int, span: int = SPAN, k: int = K) -> tuple[np.ndarray,
 def _seeds(span: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        names = ["doc_id", "place", "anchor", "whole", "tag", "n_words", "sha"]
+        names = ["doc_id", "tag", "named", "place", "anchor", "whole", "n_words", "sha"]
         for b in batches:
             ids, tags, texts = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("tag").to_numpy(zero_copy_only=False), b.column("text")
             found, counts, digests = [], [], []
@@ -103,14 +102,13 @@ def _seeds(span: int, k: int):
                 digests.append(hashlib.sha256(b" ".join(words)).digest())
                 if len(words) >= span:
                     first, many, off, anchor, whole = runs(Sums(words, powers), len(words), span, k)
-                    place = ((int(tags[i]) << 34 | first) << 6 | many) << 6 | off
-                    found.append((np.full(len(first), ids[i]), place, anchor.view(np.int64), whole.view(np.int64)))
+                    found.append((np.full(len(first), ids[i]), np.full(len(first), tags[i]), (first << 6 | many) << 6 | off, anchor.view(np.int64), whole.view(np.int64)))
             none = pa.nulls(b.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), none, none, none, b.column("tag"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tag"), b.column("named"), none, none, none, pa.array(counts, pa.int64()), pa.array(digests, pa.binary())], names)
             if found:
                 columns = [pa.array(np.concatenate(c)) for c in zip(*found, strict=True)]
                 m = len(columns[0])
-                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([*columns[:2], pa.nulls(m, pa.bool_()), *columns[2:], pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], names)
 
     return run
 
@@ -124,7 +122,7 @@ def _windows(span: int):
             ids, tags, texts, marked = (b.column(c) for c in ("doc_id", "tag", "text", "runs"))
             found = []
             for i in range(b.num_rows):
-                opened = [(x["place"] % _TAG, x["anchor"]) for x in marked[i].as_py() if x["open"]]
+                opened = [(x["place"], x["anchor"]) for x in marked[i].as_py() if x["open"]]
                 if opened:
                     sums = Sums(texts[i].as_py().split(), powers)
                     first, many = np.array([p >> 12 for p, _ in opened]), np.array([p >> 6 & 63 for p, _ in opened])
@@ -147,7 +145,7 @@ def _removed(span: int):
                 edges = np.zeros(len(words) + 1, np.int32)
                 for x in marked[i].as_py():
                     if not x["open"]:
-                        p = x["place"] % _TAG
+                        p = x["place"]
                         edges[p >> 12] += 1
                         edges[(p >> 12) + (p >> 6 & 63) + span - 1] -= 1
                 for s in single[i].as_py() or ():
@@ -163,16 +161,17 @@ def _removed(span: int):
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    text = text_of().cast("binary")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.shiftrightunsigned(F.xxhash64(text), 47).alias("tag"), text.alias("text"))
+    """doc_id (null: the last number), tag (64 bits of hash of the text), named (whether there is an id) and text. The first two tell documents apart."""
+    text, own = text_of().cast("binary"), F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(own, F.lit(_LAST)).alias("doc_id"), F.xxhash64(text).alias("tag"), own.isNotNull().alias("named"), text.alias("text"))
 
 
 def removals(docs: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
     """Per document: doc_id, tag (of its text), n_words, n_removed, sha (of the words kept) and spans (start and end, in words, of what goes)."""
     if not 0 < k <= span <= k + 62:
         raise ValueError("a window has from 1 to 63 seeds")
-    rows = staged(_keyed(docs).mapInArrow(_seeds(span, k), "doc_id long, place long, anchor long, whole long, tag long, n_words long, sha binary"), "seeds")
-    seeds = rows.where("anchor is not null").select("doc_id", "place", "anchor", "whole")
+    rows = staged(_keyed(docs).mapInArrow(_seeds(span, k), "doc_id long, tag long, named boolean, place long, anchor long, whole long, n_words long, sha binary"), "seeds")
+    seeds = rows.where("anchor is not null").select("doc_id", "tag", "place", "anchor", "whole")
     common = seeds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     # the side that is grouped is a table of its own in each join by anchor or window, so that Spark can split hot ones
     common = staged(common, "common")
@@ -181,7 +180,7 @@ def removals(docs: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
     several = staged(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", F.lit(True).alias("several")), "several")
     known = classes.join(several, "anchor", "left").select(F.col("anchor").alias("a"), F.col("whole").alias("w"), "first", "several")
     met = shared.join(known, (F.col("anchor") == F.col("a")) & (F.col("whole") == F.col("w"))).where("doc_id > first or several")
-    marked = met.groupBy("doc_id", F.shiftright("place", 46).alias("tag")).agg(F.collect_list(F.struct("place", "anchor", (F.col("doc_id") == F.col("first")).alias("open"))).alias("runs"))
+    marked = met.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("place", "anchor", (F.col("doc_id") == F.col("first")).alias("open"))).alias("runs"))
     texts = staged(_keyed(docs).join(marked, ["doc_id", "tag"]), "repeats")
     discard(shared, classes, common, several)
     windows = staged(texts.mapInArrow(_windows(span), "doc_id long, tag long, start long, anchor long, window long"), "windows")
@@ -193,9 +192,9 @@ def removals(docs: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
     changed = texts.join(starts, ["doc_id", "tag"], "left").mapInArrow(_removed(span), "doc_id long, tag long, n_removed long, sha binary, spans array<struct<start: long, end: long>>")
     changed = staged(changed.dropDuplicates(["doc_id", "tag"]), "changed").select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), "n_removed", F.col("sha").alias("kept"), "spans")
     discard(texts)
-    whole = rows.where("anchor is null").select("doc_id", "tag", "n_words", "sha")
+    whole = rows.where("anchor is null").select("doc_id", "tag", "named", "n_words", "sha")
     out = whole.join(changed, (F.col("doc_id") == F.col("d")) & (F.col("tag") == F.col("t")), "left")
-    return out.select(F.nullif("doc_id", F.lit(_LAST)).alias("doc_id"), "tag", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "sha").alias("sha"), "spans")
+    return out.select(F.when(F.col("named"), F.col("doc_id")).alias("doc_id"), "tag", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "sha").alias("sha"), "spans")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

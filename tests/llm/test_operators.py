@@ -157,6 +157,61 @@ def test_same_id_other_texts(make):
     assert sorted(got) == [(1, 0), (2, 0), (2, 0), (2, 60), (3, 60)]
 
 
+def unnamed(seed, n=2000):
+    """Rows under null, repeated and extreme ids, with texts that share passages and lines."""
+    r = random.Random(seed)
+    passages = [" ".join(f"p{i}x{r.randrange(50)}" for _ in range(60)) for i in range(6)]
+    rows = []
+    for i in range(n):
+        own = " ".join(f"o{r.randrange(10**6)}" for _ in range(r.randint(5, 12)))
+        text = own if r.random() < 0.9 else f"{own}\n{r.choice(passages)}\n{own} {i}"
+        rows.append((r.choice([None, None, None, 7, 8, (1 << 63) - 1, i]), text))
+    return rows + rows[:20]
+
+
+def test_substrings_of_unnamed_rows(make):
+    """No row is lost or judged by another's text, whatever its id; documents of one id aren't held against each other."""
+    rows = unnamed(1)
+    key = lambda i: (1 << 63) - 1 if i is None else i
+    first = {}
+    for i, t in rows:
+        w = split(t)
+        for s in range(len(w) - 49):
+            first[tuple(w[s : s + 50])] = min(first.get(tuple(w[s : s + 50]), 1 << 64), key(i))
+    want = Counter()
+    for i, t in rows:
+        w = split(t)
+        gone = [False] * len(w)
+        for s in range(len(w) - 49):
+            if first[tuple(w[s : s + 50])] < key(i):
+                gone[s : s + 50] = [True] * 50
+        want[i, len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone, strict=True) if not g)).hexdigest()] += 1
+    assert Counter(collect(substrings.removals(make(rows)).select("doc_id", "n_words", "n_removed", F.lower(F.hex("sha"))))) == want
+    assert any(k[0] is None and k[2] for k in want) and any(k[0] == (1 << 63) - 1 for k in want)
+
+
+def test_lines_of_unnamed_rows(make):
+    """A line that occurs once stays, whatever its row's id."""
+    rows = unnamed(2)
+    place = lambda i, t, n: ((1 << 63) - 1 if i is None else i, lines._signed(xxhash.xxh64_intdigest(t.encode(), 42)), n)
+    first = {}
+    for i, t in rows:
+        for n, x in enumerate(t.split("\n")):
+            first[x] = min(first.get(x, (1 << 64,)), place(i, t, n))
+    cut = defaultdict(list)
+    for x in first:
+        w = x.split()
+        for k in range(len(w)):
+            cut[tuple(w[:k] + w[k + 1 :]), k].append(x)
+    near = lambda x: any(first[o] < first[x] and lines.within_one(o.split(), x.split()) for o in {o for k in range(len(x.split())) for o in cut[tuple(x.split()[:k] + x.split()[k + 1 :]), k]} | {" ".join(x.split()[:k] + x.split()[k + 1 :]) for k in range(len(x.split()))} & first.keys() if o != x)
+    longer = {" ".join(w): x for x in first for w in [x.split()[:-1]]}
+    want = Counter()
+    for i, t in rows:
+        kept = [x for n, x in enumerate(t.split("\n")) if first[x] == place(i, t, n) and not near(x) and not (x in longer and first[longer[x]] < first[x])]
+        want[i, "\n".join(kept)] += 1
+    assert Counter((r["doc_id"], r["text"]) for r in lines.cleaned_documents(make(rows)).collect()) == want
+
+
 def reference_fingerprint(text):
     w = (text or "").encode().lower().split()
     if not w:
