@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import WORD, read, staged, text_of
+from strandframe.llm.common import WORD, quoted, read, staged, text_of
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -30,7 +30,7 @@ FINENESS = 1024
 
 
 def quality_weight(text: Column) -> Column:
-    """Percent, 5 to 100: 100 less three times the share of the characters # * $ % & | < > among those that aren't white space."""
+    """Percent, 5 to 100: 100 less three times the share of the characters # * $ % & | < > among all."""
     symbols = F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long")
     return F.greatest(F.lit(5), 100 - F.floor(300 * symbols / F.greatest(F.length(text), F.lit(1))))
 
@@ -91,9 +91,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it is taken, with all its columns. Texts aren't moved."""
     at = staged(budgets(staged(drawn(docs, ("source",)), "drawn")), "budgets").alias("b")
     columns = docs.columns
-    rows = drawn(docs.withColumn("whole", F.struct(*columns)), ("whole", "source")).alias("p")
+    rows = drawn(docs.select("doc_id", "source", "text", F.struct(*quoted(columns)).alias("whole")), ("whole", "source")).alias("p")
     taken = rows.join(at, F.expr("p.source <=> b.source"), "left").select("whole", F.explode(F.array_repeat(F.lit(1), copies().cast("int"))).alias("one"))
-    return taken.select(*(F.col(f"whole.`{c}`").alias(c) for c in columns))
+    return taken.select(*(F.col("whole").getField(c).alias(c) for c in columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

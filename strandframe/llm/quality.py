@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import WORD, let, read, staged, text_of, words_of
+from strandframe.llm.common import WORD, let, quoted, read, staged, text_of, words_of
 
 GAMMA = 1.05
 MIN_DOCS = 100
@@ -138,9 +138,9 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     below it and compute it again, several times.
     """
     columns = docs.columns
-    rows = rates(staged(features(docs.withColumn("whole", F.struct(*columns)), ("whole", "lang", "source")), "features"))
+    rows = rates(staged(features(docs.select("lang", "source", "text", F.struct(*quoted(columns)).alias("whole")), ("whole", "lang", "source")), "features"))
     limits = staged(thresholds(rows), "thresholds")
-    return judge(rows, limits).where("kept").select(*(F.col(f"whole.`{c}`").alias(c) for c in columns))
+    return judge(rows, limits).where("kept").select(*(F.col("whole").getField(c).alias(c) for c in columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
