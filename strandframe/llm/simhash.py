@@ -135,7 +135,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     distinct = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = connected(links(distinct, threshold))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    # a table of its own, so that Spark can split the join for a large component
+    least = staged(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     named = rooted.join(least, "root").select(F.col("fp").alias("of"), "component_id")
     return rows.join(named, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
