@@ -233,8 +233,8 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.cast("binary").alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"), F.octet_length(html).cast("long").alias("length"))
     marks = staged(rows.select("page_id", "digest", "length").distinct(), "digests")
-    first = marks.where(F.col("length") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"))
-    # only those that revisit another page are joined to the pages, by page id: no group of copies meets in one task
+    # a table of its own, so that Spark can split the join for a digest of many pages; pages themselves are joined by page id
+    first = staged(marks.where(F.col("length") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first")), "first")
     again = marks.join(first, "digest").where(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "digest", F.col("first").alias("refers_to"))
     joined = rows.alias("r").join(again.alias("a"), F.expr("r.page_id <=> a.page_id and r.digest = a.digest"), "left")
     revisit = F.col("refers_to").isNotNull()
