@@ -5,8 +5,9 @@ more than CAP times its own words, and what is over goes to the others by weight
 sources). A source's target is whole epochs of all its documents and a remainder. For the remainder each document draws
 an exponential key -ln(u) / quality weight; documents are taken in order of their keys while their words fit.
 
-The order within a source is cut into bins of the key's logarithm: sums of bins are added up in order, and only the one bin
-in which the budget ends is put in order row by row. So a source with a third of all rows is no larger task than others.
+The order within a source is cut into bins of the key's logarithm: sums of bins are added up in order, the one bin in which
+the budget ends is cut into finer bins in the same way, and only the one of those in which it ends is put in order row by row:
+a row in a million or so. So a source with a third of all rows is no larger task than others.
 
 Defined cases: a null text is empty, has size 0 and nothing is taken of it; documents with equal keys (repeated rows) are
 ordered by id and size, and equal ones are all taken or all left; a null id draws as the text "null"; a null source is a source;
@@ -25,8 +26,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
 SEED = 17
-#: Bins to a doubling of the key.
-FINENESS = 1024
+#: Bins to a doubling of the key, and finer bins to a bin.
+FINENESS, FINER = 1024, 1024
 
 
 def quality_weight(text: Column) -> Column:
@@ -58,16 +59,24 @@ def targets(sizes: DataFrame) -> DataFrame:
     return water.select("source", "source_size", F.when(F.col("level") <= level, F.lit(float(CAP)) * F.col("source_size")).otherwise(level * F.col("weight")).alias("target"))
 
 
+def _edge(rows: DataFrame, cuts: DataFrame, fineness: int) -> DataFrame:
+    """Of rows (source, size, place), those in the bin in which their source's rest of words ends: with rest and start, the words before that bin.
+    cuts: a row a source, with rest and start, the words before all its rows."""
+    rows = rows.withColumn("bin", F.floor(F.log2("place.key") * fineness)).drop("rest")
+    bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("words"))
+    bins = bins.withColumn("upto", F.sum("words").over(W.partitionBy("source").orderBy("bin"))).alias("b")
+    met = bins.join(cuts.alias("e"), F.expr("b.source <=> e.source and start + upto - words < rest and start + upto >= rest"))
+    cut = staged(met.select("b.source", "bin", (F.col("start") + F.col("upto") - F.col("words")).alias("start"), "rest"), "edge").alias("c")
+    return rows.alias("r").join(cut, F.expr("r.source <=> c.source and r.bin = c.bin")).select("r.source", "size", "place", "start", "rest")
+
+
 def budgets(rows: DataFrame) -> DataFrame:
     """A row for each source: source_size, target, epochs, and last, the place of the last document in the remainder (null: none)."""
     each = targets(rows).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     each = staged(each.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "targets")
-    rows = rows.withColumn("bin", F.floor(F.log2("place.key") * FINENESS))
-    bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("words"))
-    bins = bins.withColumn("before", F.sum("words").over(W.partitionBy("source").orderBy("bin")) - F.col("words")).alias("b")
-    cut = bins.join(each.alias("e"), F.expr("b.source <=> e.source and before < rest and before + words >= rest")).select("b.source", "bin", "before", "rest").alias("c")
-    edge = rows.alias("r").join(cut, F.expr("r.source <=> c.source and r.bin = c.bin")).select("r.source", "size", "place", "before", "rest")
-    upto = F.col("before") + F.sum("size").over(W.partitionBy("source").orderBy("place"))
+    edge = _edge(rows, each.withColumn("start", F.lit(0).cast("long")), FINENESS)
+    edge = _edge(edge.drop("start"), edge.groupBy("source").agg(F.first("start").alias("start"), F.first("rest").alias("rest")), FINENESS * FINER)
+    upto = F.col("start") + F.sum("size").over(W.partitionBy("source").orderBy("place"))
     edge = edge.withColumn("upto", upto).groupBy("source").agg(F.max(F.when(2 * F.col("upto") - F.col("size") <= 2 * F.col("rest"), F.col("place"))).alias("place"), F.min("place.key").alias("from")).alias("x")
     cuts = each.alias("e").join(edge, F.expr("e.source <=> x.source"), "left")
     # nothing of the bin in which the budget ends may fit: then all that comes before the bin is taken
