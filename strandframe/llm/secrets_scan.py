@@ -5,7 +5,7 @@ a folder a rule version; a scan looks only at blobs that the ledger hasn't got f
 appends what it found, and joins findings back to all paths. Changed rules get another version by themselves.
 
 Defined cases: a null text is empty; a null path is kept and gets its findings; equal texts are one blob, whatever their
-number; repeated rows each get a row; other columns are ignored; an empty table gives an empty result.
+number (one path's text is scanned, once for each row that repeats it); repeated rows each get a row; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ RULES = {
     "assign": (r"""(?ia:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", 2, 12, ("passw", "secret", "token", "api")),
     "access": (r"AKIA[A-Z0-9]+", 0, 18, ("akia",)),
     "hex": (r"[0-9a-f]{16,}", 0, 16, ()),  # all of a run is one match, so the length can stand in the pattern
-    "pem": (r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 0, 0, ("-----begin",)),
+    "pem": (r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END [A-Z ]{0,30}PRIVATE KEY-----)?", 0, 0, ("-----begin",)),
     "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 0, ("eyj",)),
     "hosting": (r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 0, ("gh",)),
     "chat": (r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0, ("xox",)),
