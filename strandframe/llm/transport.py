@@ -2,8 +2,9 @@
 
 mux() cuts a payload into PES packets of CHUNK bytes, 3600 ticks of 90 kHz apart, on one private-data PID. Each PES packet
 starts with a clock reference; each GROUP-th is a random-access point before which the program tables stand. demux() reads
-a stream of any such program: it finds the elementary streams by the tables (their checksums are verified), checks the
-continuity counters, leaves out repeated packets, reassembles PES packets and lists timestamps with random-access points.
+any stream of 188-byte packets in the clear: it reassembles the program tables (over any number of packets; their checksums are
+verified), finds the elementary streams, checks the continuity counters, leaves out repeated packets, reassembles PES packets and
+lists timestamps with random-access points, which the query returns too (timestamps).
 A damaged stream is an error (ValueError) that names the fault, unless faults are asked for as counts.
 
 Defined cases: a null text is empty; an empty text is 64 zero bytes; a null id is kept; repeated rows each get a row; other
@@ -95,69 +96,94 @@ def mux(payload: bytes) -> bytes:
     return b"".join(parts)
 
 
-def _sections(rows: np.ndarray, at: np.ndarray) -> Iterator[bytes]:
-    """Bodies of the sections that start in rows; a section here fits into one packet."""
-    for row, off in zip(rows, at, strict=True):
+def _sections(rows: np.ndarray, at: np.ndarray, starts: np.ndarray) -> Iterator[bytes]:
+    """Sections in the packets of one PID, in order; a section may go on through several packets, and a packet may hold several."""
+    held, inside = b"", False
+    for row, off, start in zip(rows, at.tolist(), starts.tolist(), strict=True):
         raw = row[off:].tobytes()
-        s = raw[1 + raw[0] :]
-        s = s[: 3 + (int.from_bytes(s[1:3], "big") & 0xFFF)]
-        if crc32_mpeg(s) != 0:
-            raise ValueError("a program table's checksum is wrong")
-        yield s
+        parts = [raw] if not start else [raw[1 : 1 + raw[0]], raw[1 + raw[0] :]]
+        for k, part in enumerate(parts):
+            if start and k == 1:
+                held, inside = b"", True
+            held += part if inside else b""
+            while inside and len(held) >= 3 and held[0] != 0xFF:
+                size = 3 + (int.from_bytes(held[1:3], "big") & 0xFFF)
+                if len(held) < size:
+                    break
+                if crc32_mpeg(held[:size]) != 0:
+                    raise ValueError("a program table's checksum is wrong")
+                yield held[:size]
+                held = held[size:]
 
 
 def demux(stream: bytes, strict: bool = True) -> dict:
-    """payload, index (ticks, packet, random access) of each PES packet, and counts."""
+    """payload, index (ticks, packet, random access) of each PES packet, and counts.
+
+    lost counts gaps in continuity counters that no discontinuity flag announces, packets that repeat a counter with other
+    data, packets marked as damaged, and PES packets cut short. Scrambled packets are always an error.
+    """
     if len(stream) % PACKET:
         raise ValueError("not a whole number of packets")
     p = np.frombuffer(stream, np.uint8).reshape(-1, PACKET)
     if (p[:, 0] != 0x47).any():
         raise ValueError("lost synchronisation")
+    broken = p[:, 1] & 0x80 > 0
+    many, lost, repeated = len(p), int(broken.sum()), 0
+    place = np.flatnonzero(~broken)
+    p = p[place]
     pid = (p[:, 1].astype(np.int32) & 0x1F) << 8 | p[:, 2]
+    if (p[pid != 0x1FFF, 3] & 0xC0).any():
+        raise ValueError("a packet is scrambled")
     starts, has_field, has_data = p[:, 1] & 0x40 > 0, p[:, 3] & 0x20 > 0, p[:, 3] & 0x10 > 0
-    at = 4 + np.where(has_field, 1 + p[:, 4].astype(np.int64), 0)
-    entry = has_field & (p[:, 4] > 0) & (p[:, 5] & 0x40 > 0)
+    at = np.minimum(4 + np.where(has_field, 1 + p[:, 4].astype(np.int64), 0), PACKET)
+    flags = np.where(has_field & (p[:, 4] > 0), p[:, 5], 0)
+    entry, announced = flags & 0x40 > 0, flags & 0x80 > 0
+    sections = lambda on: _sections(p[on], at[on], starts[on])
     pmts, streams = set(), set()
-    on = (pid == 0) & starts & has_data
-    for s in _sections(p[on], at[on]):
+    for s in sections((pid == 0) & has_data):
         pmts |= {int.from_bytes(s[i + 2 : i + 4], "big") & 0x1FFF for i in range(8, len(s) - 4, 4) if s[i : i + 2] != b"\x00\x00"}
     for table in sorted(pmts):
-        on = (pid == table) & starts & has_data
-        for s in _sections(p[on], at[on]):
+        for s in sections((pid == table) & has_data):
             i = 12 + (int.from_bytes(s[10:12], "big") & 0xFFF)
             while i < len(s) - 4:
                 streams.add(int.from_bytes(s[i + 1 : i + 3], "big") & 0x1FFF)
                 i += 5 + (int.from_bytes(s[i + 3 : i + 5], "big") & 0xFFF)
     if not streams:
         raise ValueError("no program table names a stream")
-    payload, index, lost, repeated = [], [], 0, 0
+    payload, index = [], []
     for stream_pid in sorted(streams):
         rows = np.flatnonzero((pid == stream_pid) & has_data)
         step = np.diff(p[rows, 3] & 15) % 16
+        fresh = announced[rows][1:]
         same = np.zeros(len(rows), bool)
-        same[1:][step == 0] = True
+        # a packet may be sent twice; all but its clock reference must be the same then
+        for k in np.flatnonzero((step == 0) & ~fresh) + 1:
+            x, y = rows[k - 1], rows[k]
+            same[k] = at[x] == at[y] and p[x, at[x] :].tobytes() == p[y, at[y] :].tobytes()
         repeated += int(same.sum())
-        lost += int(((step != 1) & (step != 0)).sum())
+        lost += int(((step != 1) & ~fresh & ~same[1:]).sum())
         rows = rows[~same]
         data = p[rows]
         inside = np.arange(PACKET) >= at[rows][:, None]
         flat, ends = data[inside].tobytes(), np.cumsum(PACKET - at[rows])
         first = np.flatnonzero(starts[rows])
+        if not len(first):  # a stream that the tables name need not have packets
+            continue
         begin = [int(ends[i] - (PACKET - at[rows[i]])) for i in first]
         for i, a, b in zip(first, begin, [*begin[1:], len(flat)], strict=True):
             if flat[a : a + 3] != b"\x00\x00\x01":
                 raise ValueError("a PES packet doesn't start where it should")
-            long, flags, head = int.from_bytes(flat[a + 4 : a + 6], "big"), flat[a + 7], flat[a + 8]
+            long, marks, head = int.from_bytes(flat[a + 4 : a + 6], "big"), flat[a + 7], flat[a + 8]
             t = flat[a + 9 : a + 14]
-            ticks = (t[0] >> 1 & 7) << 30 | int.from_bytes(t[1:3], "big") >> 1 << 15 | int.from_bytes(t[3:5], "big") >> 1 if flags & 0x80 else None
+            ticks = (t[0] >> 1 & 7) << 30 | int.from_bytes(t[1:3], "big") >> 1 << 15 | int.from_bytes(t[3:5], "big") >> 1 if marks & 0x80 else None
             end = a + 6 + long if long else b
             if end > b:
                 lost += 1
             payload.append(flat[a + 9 + head : end])
-            index.append((ticks, int(rows[i]), bool(entry[rows[i]])))
+            index.append((ticks, int(place[rows[i]]), bool(entry[rows[i]])))
     if strict and lost:
         raise ValueError(f"{lost} gaps in continuity counters or PES packets")
-    return {"payload": b"".join(payload), "index": index, "packets": len(p), "streams": len(streams), "lost": lost, "repeated": repeated}
+    return {"payload": b"".join(payload), "index": index, "packets": many, "streams": len(streams), "lost": lost, "repeated": repeated}
 
 
 def padded(text: bytes) -> bytes:
@@ -198,7 +224,7 @@ def index(media: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index(staged(store(read(spark, sf_dir, "documents")), "media")).drop("timestamps")
+    return index(staged(store(read(spark, sf_dir, "documents")), "media"))
 
 
 #: SQL has no packets; tests hold the round trip against the texts.

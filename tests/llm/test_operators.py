@@ -334,6 +334,8 @@ def test_secrets(spark, make, tmp_path):
         base = reference_spans(texts[r["doc_id"]])
         assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
         assert set(filter(None, base.split(","))) <= set(r["spans"].split(","))
+        kinds = Counter(x.split(":")[0] for x in base.split(",") if x)
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == (kinds["assign"], kinds["access"], kinds["hex"])
     assert ledger.rows().count() == len(set(t or "" for t in texts.values()))
     # a second scan looks at new blobs only
     before = {p.name for p in next((tmp_path / "ledger").iterdir()).iterdir()}
@@ -343,6 +345,14 @@ def test_secrets(spark, make, tmp_path):
     assert sum(spark.read.parquet(str(p)).count() for p in new) == 1
 
 
+def test_private_keys():
+    block = "-----BEGIN RSA PRIVATE KEY-----\nMIIabc+/=\nxyz\n-----END RSA PRIVATE KEY-----"
+    of = lambda t: [(s, e) for k, s, e in secrets_scan.find(t) if k == "pem"]
+    assert of("a " + block + " b") == [(2, 2 + len(block))]
+    assert of("-----BEGIN PRIVATE KEY----- cut - off") == [(0, 27)]
+    assert len(of("-----BEGIN PRIVATE KEY-----\n" * 20000)) == 20000
+
+
 def reference_lines(rows, least=5):
     key = lambda i: 1 << 63 if i is None else i
     first = {}
@@ -438,6 +448,21 @@ def test_mixing(spark):
     assert sum(copies.values()) == sum(x["taken"] // x["size"] for x in got if x["size"])
 
 
+def test_mixing_many_equal_sizes(spark):
+    """The budget ends within a fine bin of many documents: as by sorting all of them."""
+    docs = spark.range(200_000).selectExpr("id as doc_id", "'a b c' as text", "case when id % 4 = 0 then 'big' when id % 4 = 1 then 'b' else 'c' end as source")
+    rows = mixing.drawn(docs, ("doc_id", "source")).collect()
+    budgets = {r["source"]: r for r in mixing.budgets(mixing.drawn(docs, ("doc_id", "source"))).collect()}
+    for name, b in budgets.items():
+        rest, upto, want = b["target"] - b["epochs"] * b["source_size"], 0, None
+        for r in sorted((x for x in rows if x["source"] == name), key=lambda x: tuple(x["place"])):
+            upto += r["size"]
+            if 2 * upto - r["size"] <= 2 * rest and rest > 0:
+                want = r["place"]
+        taken = [r for r in rows if r["source"] == name and ((b["place"] and tuple(r["place"]) <= tuple(b["place"])) or (b["from"] is not None and r["place"]["key"] < b["from"]))]
+        assert len(taken) == (0 if want is None else sum(tuple(r["place"]) <= tuple(want) for r in rows if r["source"] == name))
+
+
 def test_quality_weighs_in(spark):
     """Among equal sizes, marked-up texts are taken less often."""
     rows = [(i, ("word " if i % 2 else "w### ") * 10, "abc"[i % 3]) for i in range(3000)]
@@ -504,7 +529,63 @@ def test_transport(make):
         m = transport.mux(p)
         want.append((i, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest()))
     assert sorted((tuple(r)[:7] for r in got), key=str) == sorted(want, key=str)
-    assert all(r["timestamps"][0]["random_access"] and r["timestamps"][0]["ticks"] == 0 for r in got)
+    streams = {hashlib.sha256(transport.padded((t or "").encode())).hexdigest(): transport.mux(transport.padded((t or "").encode())) for _, t in rows}
+    for r in got:
+        stamps, packets = packet_by_packet(streams[r["payload_sha256"]])
+        assert [tuple(x) for x in r["timestamps"]] == stamps
+        assert r["feature"] == f"packets={packets};streams=1;pes={len(stamps)};entries={sum(x[2] for x in stamps)};first={stamps[0][0]};last={stamps[-1][0]};lost=0;repeated=0"
+
+
+def packet_by_packet(stream):
+    """(ticks, packet, random access) of the PES packets on the data PID, and the number of packets, read one packet at a time."""
+    out = []
+    for k in range(0, len(stream), 188):
+        x = stream[k : k + 188]
+        if (int.from_bytes(x[1:3], "big") & 0x1FFF) == transport.DATA_PID and x[1] & 0x40:
+            field = x[4] if x[3] & 0x20 else -1
+            pes = x[5 + field :]
+            assert pes[:4] == b"\0\0\1\xbd" and pes[7] == 0x80 and pes[9] >> 4 == 2
+            bits = f"{int.from_bytes(pes[9:14], 'big'):040b}"
+            out.append((int(bits[4:7] + bits[8:23] + bits[24:39], 2), k // 188, field > 0 and bool(x[5] & 0x40)))
+    return out, len(stream) // 188
+
+
+def test_transport_of_others():
+    """Tables over several packets, announced discontinuities, damaged and scrambled packets, other PIDs and null packets."""
+    payload = bytes(range(256)) * 200
+    own = transport.mux(payload)
+    packets = [own[i : i + 188] for i in range(0, len(own), 188)]
+
+    def table(pid, section):
+        data, out = b"\0" + section, []
+        for k, i in enumerate(range(0, len(data), 184)):
+            part = data[i : i + 184]
+            out.append(bytes([0x47, 0x40 * (k == 0) | pid >> 8, pid & 0xFF, 0x10 | k % 16]) + part + b"\xff" * (184 - len(part)))
+        return out
+
+    programs = b"".join(n.to_bytes(2, "big") + (0xE000 | 0x1000 + n).to_bytes(2, "big") for n in range(100))
+    pmt = (0xE000 | transport.DATA_PID).to_bytes(2, "big") + b"\xf0\x00" + b"".join(b"\x06" + (0xE000 | q).to_bytes(2, "big") + b"\xf0\x03abc" for q in (transport.DATA_PID, *range(0x300, 0x340)))
+    long = [*table(0, transport._section(0, 1, programs)), *table(0x1007, transport._section(2, 7, pmt)), bytes([0x47, 0x1F, 0xFF, 0x10]) + bytes(184)]
+    assert len(long) > 5
+    got = transport.demux(b"".join(long + packets[2:]))
+    assert got["payload"] == payload and got["streams"] == 65 and got["packets"] == len(long) + len(packets) - 2
+    with pytest.raises(ValueError, match="no program"):
+        transport.demux(b"".join(packets[2:]))
+    data = [k for k, x in enumerate(packets) if x[1] & 0x1F == 1]
+    starts = [k for k in data if packets[k][1] & 0x40]
+    flagged = bytearray(packets[starts[1]])
+    flagged[5] |= 0x80
+    cut = packets[:3] + [bytes(flagged)] + packets[starts[1] + 1 :]
+    with pytest.raises(ValueError, match="gaps"):  # the counter's jump is announced, but the PES packet before it is short
+        transport.demux(b"".join(cut))
+    assert transport.demux(b"".join(cut), strict=False)["lost"] == 1
+    broken = [bytes([x[0], x[1] | 0x80]) + x[2:] if k == data[5] else x for k, x in enumerate(packets)]
+    assert transport.demux(b"".join(broken), strict=False)["lost"] >= 2
+    scrambled = [x[:3] + bytes([x[3] | 0xC0]) + x[4:] if k == data[5] else x for k, x in enumerate(packets)]
+    with pytest.raises(ValueError, match="scrambled"):
+        transport.demux(b"".join(scrambled))
+    other = [*packets[: data[5]], packets[data[5]], packets[data[5]][:100] + b"!" + packets[data[5]][101:], *packets[data[5] + 1 :]]
+    assert transport.demux(b"".join(other), strict=False)["lost"] == 1
 
 
 def test_transport_sizes_and_damage():
