@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandframe.functions import cigar, exprs
-from strandframe.operators import intervals
-
 
 #: Reference bases in a bin, unless a table says otherwise.
 WIDTH = 16_384
@@ -30,10 +28,14 @@ def regions(contigs: DataFrame, size: int) -> DataFrame:
     return contigs.where("length > 0").select("tid", "contig", F.explode(starts).alias("start"), "length").select("tid", "contig", "start", F.least(F.col("start") + size, "length").alias("end"))
 
 
-def longest_read(alignments: DataFrame, sample: int) -> int:
-    """Of the first records of the file, whatever they are; 0 if there are none."""
+def longest(alignments: DataFrame, sample: int) -> DataFrame:
+    """n: the length of the longest of the first records of the file, whatever they are; 0 if there are none."""
     first = alignments.select("rec_idx", F.length("seq").alias("n")).orderBy("rec_idx").limit(sample)
-    return first.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]
+    return first.agg(F.coalesce(F.max("n"), F.lit(0)).cast("long").alias("n"))
+
+
+def longest_read(alignments: DataFrame, sample: int) -> int:
+    return longest(alignments, sample).first()["n"]
 
 
 def prepared(alignments: DataFrame) -> DataFrame:
@@ -66,25 +68,37 @@ def on_reference(reads: DataFrame, reference: DataFrame, width: int = WIDTH) ->
     return joined.withColumn("ref_seq", part).drop("stretch", "bin", "bin_start", "from", "to")
 
 
-def _explode_inside(rows: DataFrame) -> DataFrame:
-    """k: offsets within the stretch s whose reference base is in the row's part."""
-    low, high = F.greatest(F.col("ref_start") - F.col("s.genome"), F.lit(0)), F.least(F.col("ref_end") - F.col("s.genome"), F.col("s.len").cast("long")) - 1
-    return rows.withColumn("k", F.explode(F.when(low <= high, F.sequence(low, high))))
+#: Bases of a read that go through the explode together, with their letters and qualities and nothing else of the read.
+PIECE = 64
 
 
-def _letter(column: str, at: Column) -> Column:
-    return F.when(at >= 0, F.col(column).substr(at.cast("int") + 1, F.lit(1))).otherwise("")
+def _exploded(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """A row for each base of the stretch s whose reference base is in the row's part: keep's columns, r_pos, g_pos, read_base, ref_base, qual.
 
-
-def aligned(reads: DataFrame, keep: list[str]) -> DataFrame:
+    The stretch is cut into pieces first, so that what is copied for a base doesn't grow with the read.
+    """
+    low, high = F.greatest(F.col("ref_start") - F.col("s.genome"), F.lit(0)), F.least(F.col("ref_end") - F.col("s.genome"), F.col("s.len").cast("long"))
+    rows = rows.withColumns({"low": low, "high": high}).where("low < high")
+    rows = rows.withColumn("at", F.explode(F.sequence("low", F.col("high") - 1, F.lit(PIECE).cast("long")))).withColumn("n", F.least(F.lit(PIECE), F.col("high") - F.col("at")).cast("int"))
+    rows = rows.withColumns({"r_from": F.col("s.read") + F.col("at"), "g_from": F.col("s.genome") + F.col("at")})
+    # a piece may end behind the read's last base: those bases have empty letters
+    inside = lambda c, at: F.col(c).substr(at.cast("int") + 1, F.col("n"))
+    pieces = rows.select(*keep, "r_from", "g_from", "n", inside("seq", F.col("r_from")).alias("letters"), inside("ref_seq", F.col("g_from") - F.col("ref_start")).alias("under"), F.slice("qual", F.col("r_from").cast("int") + 1, F.col("n")).alias("quals"))
+    bases = pieces.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    letter = lambda c: F.col(c).substr(F.col("k") + 1, F.lit(1))
+    return bases.select(*keep, (F.col("r_from") + F.col("k")).alias("r_pos"), (F.col("g_from") + F.col("k")).alias("g_pos"), letter("letters").alias("read_base"), letter("under").alias("ref_base"), F.get("quals", F.col("k")).alias("qual"))
+
+
+def aligned(reads: DataFrame, keep: list[str], shift: Column | None = None) -> DataFrame:
     """A row for each base that is aligned to a reference base: keep's columns, r_pos, g_pos, read_base, ref_base (as it is written), qual.
 
-    Bases past the ends of the sequence or of the contig have empty letters, past the qualities a null quality.
+    Bases past the ends of the sequence or of the contig have empty letters, past the qualities a null quality. r_pos, and with it the
+    read's letter and quality, is shift places to the left if that is given.
     """
     parts = F.filter(cigar.segments(F.col("ops"), F.col("pos")), lambda s: s["op"].isin(*cigar.ALIGNED) & (s["len"] > 0))
-    rows = _explode_inside(reads.select(*keep, "seq", "qual", "ref_seq", "ref_start", "ref_end", F.explode(parts).alias("s")))
-    rows = rows.withColumns({"r_pos": F.col("s.read") + F.col("k"), "g_pos": F.col("s.genome") + F.col("k")})
-    return rows.select(*keep, "r_pos", "g_pos", _letter("seq", F.col("r_pos")).alias("read_base"), _letter("ref_seq", F.col("g_pos") - F.col("ref_start")).alias("ref_base"), F.get("qual", F.col("r_pos").cast("int")).alias("qual"))
+    if shift is not None:
+        parts = F.transform(parts, lambda s: F.struct((s["read"] - shift).alias("read"), s["genome"].alias("genome"), s["len"].alias("len")))
+    return _exploded(reads.select(*keep, "seq", "qual", "ref_seq", "ref_start", "ref_end", F.explode(parts).alias("s")), keep)
 
 
 def has_clips() -> Column:
@@ -104,11 +118,6 @@ def clipped(reads: DataFrame, keep: list[str]) -> DataFrame:
     right_read = F.col("seq_len") - last["len"]
     right = F.when(some & (F.size("ops") > 1) & (last["op"] == "S") & (F.col("end") + last["len"] <= F.col("contig_length")) & (right_read >= 0), F.struct(F.lit("right").alias("side"), right_read.alias("read"), F.col("end").alias("genome"), last["len"].alias("len")))
     sides = F.filter(F.array(left, right), lambda s: s.isNotNull() & (s["len"] > 0))
-    rows = _explode_inside(reads.select(*keep, "seq", "qual", "ref_seq", "ref_start", "ref_end", F.explode(sides).alias("s")))
-    rows = rows.withColumns({"r_pos": F.col("s.read") + F.col("k"), "g_pos": F.col("s.genome") + F.col("k")})
-    rows = rows.select(*keep, F.col("s.side").alias("side"), "r_pos", "g_pos", _letter("seq", F.col("r_pos")).alias("read_base"), F.upper(_letter("ref_seq", F.col("g_pos") - F.col("ref_start"))).alias("ref_base"), F.get("qual", F.col("r_pos").cast("int")).alias("qual"))
+    rows = reads.select(*keep, "seq", "qual", "ref_seq", "ref_start", "ref_end", F.explode(sides).alias("s")).withColumn("side", F.col("s.side"))
+    rows = _exploded(rows, [*keep, "side"]).withColumn("ref_base", F.upper("ref_base"))
     return rows.where(exprs.countable(F.col("read_base")) & exprs.countable(F.col("ref_base")))
-
-
-def masked(rows: DataFrame, bed: DataFrame | None) -> DataFrame:
-    return rows if bed is None else intervals.without_points(rows, bed)

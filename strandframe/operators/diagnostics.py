@@ -52,35 +52,36 @@ def _inside() -> Column:
     return exprs.sure((F.col("g_pos") >= F.col("overlap_start")) & (F.col("g_pos") < F.col("overlap_end")))
 
 
+#: Stands in the reference for bases that are left out.
+_GONE = "."
+
+
 def base_rows(reads: DataFrame, reference: DataFrame, bed: DataFrame | None = None, mode: str = "mask", width: int = bases.WIDTH) -> DataFrame:
     """Bases of routed reads with in_overlap; masked bases have reference N in mask mode and are left out in filter mode."""
+    if bed is not None:
+        reference = intervals.masked_reference(reference, bed, width, _GONE if mode == "filter" else "N")
     rows = bases.aligned(bases.on_reference(reads, reference, width), _KEEP).withColumn("in_overlap", _inside())
-    if bed is None:
-        return rows
-    if mode == "filter":
-        return intervals.without_points(rows, bed)
-    met = intervals.binned(intervals.merged(bed))
-    hit = (F.col("contig") == F.col("bed_contig")) & (F.floor(F.col("g_pos") / intervals.BIN) == F.col("bed_bin")) & (F.col("g_pos") >= F.col("bed_start")) & (F.col("g_pos") < F.col("bed_end"))
-    return rows.join(met, hit, "left").withColumn("ref_base", F.when(F.col("bed_contig").isNotNull(), F.lit("N")).otherwise(F.col("ref_base"))).drop("bed_contig", "bed_start", "bed_end", "bed_bin")
+    return rows.where(F.col("ref_base") != _GONE) if bed is not None and mode == "filter" else rows
 
 
 _SITE = ["chunk", "contig", "g_pos"]
 
 
 def site_table(rows: DataFrame, config: DiagnosticsConfig) -> DataFrame:
-    """chunk, contig, g_pos, depth and keys, in one pass over the bases.
+    """chunk, contig, g_pos, depth and keys, in one pass over the bases: sums by site and key first, then a site's few sums together.
 
     depth counts bases of any quality; the first record of a pair counts double where the two overlap, the second not. keys are
     the distinct (mismatch_type, read_num, read_position) of bases that differ, outside of overlaps, of single reads and first
-    records: at most 24 a position of a read, so a site's set is small however deep the site is.
+    records: at most 24 a position of a read, so a site's list is small however deep the site is.
     """
     weight = F.when(F.col("in_overlap"), F.when(F.col("record") == 1, 2).otherwise(0)).otherwise(1)
     differ = exprs.countable(F.col("read_base")) & exprs.countable(F.col("ref_base")) & (F.col("read_base") != F.col("ref_base"))
     counted = differ & (F.col("qual") >= config.min_base_quality) & ~F.col("in_overlap") & exprs.sure(F.col("record").isNull() | (F.col("record") == 1))
     change = exprs.base_change(F.col("ref_base"), F.col("read_base"), F.col("is_rev"), F.col("read_num"), config.methylation)
     place = exprs.diagnostic_position(F.col("r_pos"), F.col("seq_len"), F.col("is_rev"), F.col("read_num"), config.mode_length, config.insert_mode)
-    key = F.struct(change.alias("mismatch_type"), F.col("read_num"), place.cast("long").alias("read_position"))
-    return rows.groupBy(*_SITE).agg(F.sum(weight).cast("long").alias("depth"), F.collect_set(F.when(counted, key)).alias("keys"))
+    key = {"mismatch_type": change, "read_num": F.col("read_num"), "read_position": place.cast("long")}
+    sums = rows.groupBy(*_SITE, *(F.when(counted, c).alias(n) for n, c in key.items())).agg(F.sum(weight).cast("long").alias("weight"))
+    return sums.groupBy(*_SITE).agg(F.sum("weight").alias("depth"), F.collect_list(F.when(F.col("mismatch_type").isNotNull(), F.struct(*key))).alias("keys"))
 
 
 def depth(sites: DataFrame) -> DataFrame:
@@ -120,20 +121,27 @@ def discounts(keys: DataFrame) -> DataFrame:
 def inconsistencies(reads: DataFrame, config: DiagnosticsConfig) -> DataFrame:
     """read1_position, read2_position (offsets as stored, from 0), discordance_type, count: where the records of a pair differ.
 
-    The pair meets as two reads; no reference is needed, and intervals mask nothing here.
+    The pair meets as two reads, and only the places where they differ become rows; no reference is needed, and intervals mask nothing here.
     """
     parts = F.filter(cigar.segments(F.col("ops"), F.col("pos")), lambda s: s["op"].isin(*cigar.ALIGNED) & (s["len"] > 0))
-    low = F.greatest(F.col("overlap_start") - F.col("s.genome"), F.lit(0))
-    high = F.least(F.col("overlap_end") - F.col("s.genome"), F.col("s.len").cast("long")) - 1
-    rows = reads.where("pair is not null").select("pair", "contig", "record", "seq", "qual", "overlap_start", "overlap_end", F.explode(parts).alias("s"))
-    rows = rows.select("pair", "contig", "record", "seq", "qual", "s", F.explode(F.when(low <= high, F.sequence(low, high))).alias("k"))
-    at = F.col("s.read") + F.col("k")
-    rows = rows.select("pair", "contig", "record", (F.col("s.genome") + F.col("k")).alias("g_pos"), at.alias("r_pos"), F.col("seq").substr(at.cast("int") + 1, F.lit(1)).alias("base"), F.get("qual", at.cast("int")).alias("q"))
-    side = lambda n, a: rows.where((F.col("record") == n) & (F.col("q") >= config.min_base_quality)).alias(a)
-    met = side(1, "x").join(side(2, "y"), ["pair", "contig", "g_pos"]).where("x.base <> y.base")
+    rows = reads.where("pair is not null").select("pair", "record", F.col("seq").cast("binary").alias("seq"), "qual", parts.alias("parts"), "overlap_start", "overlap_end")
+    side = lambda n: rows.where(F.col("record") == n).select("pair", *([] if n == 2 else ["overlap_start", "overlap_end"]), *(F.col(c).alias(f"{c}{n}") for c in ("seq", "qual", "parts")))
+    met = side(1).join(side(2), "pair")
+
+    def shared(s: Column, t: Column) -> Column:
+        """Places (offsets in both) of the stretch that two parts share with the overlap."""
+        low = F.greatest(F.col("overlap_start"), s["genome"], t["genome"])
+        high = F.least(F.col("overlap_end"), s["genome"] + s["len"], t["genome"] + t["len"])
+        return F.when(low < high, F.transform(F.sequence(low, high - 1), lambda g: F.struct((s["read"] + g - s["genome"]).cast("int").alias("x"), (t["read"] + g - t["genome"]).cast("int").alias("y")))).otherwise(F.array().cast("array<struct<x: int, y: int>>"))
+
+    places = F.flatten(F.transform("parts1", lambda s: F.flatten(F.transform("parts2", lambda t: shared(s, t)))))
+    base = lambda n, at: F.substring(f"seq{n}", at + 1, F.lit(1))
+    good = lambda n, at: F.get(f"qual{n}", at) >= config.min_base_quality
+    differ = F.filter(places, lambda p: exprs.sure((base(1, p["x"]) != base(2, p["y"])) & good(1, p["x"]) & good(2, p["y"])))
+    found = met.select(F.explode(differ).alias("p"), "seq1", "seq2").select("p", base(1, F.col("p.x")).cast("string").alias("a"), base(2, F.col("p.y")).cast("string").alias("b"))
     letter = lambda c: F.when(exprs.countable(F.col(c)), F.col(c)).otherwise("N")
-    kind = F.concat(F.lit("R1:"), letter("x.base"), F.lit("_R2:"), letter("y.base"))
-    return met.groupBy(F.col("x.r_pos").alias("read1_position"), F.col("y.r_pos").alias("read2_position"), kind.alias("discordance_type")).agg(F.count(F.lit(1)).alias("count"))
+    kind = F.concat(F.lit("R1:"), letter("a"), F.lit("_R2:"), letter("b"))
+    return found.groupBy(F.col("p.x").cast("long").alias("read1_position"), F.col("p.y").cast("long").alias("read2_position"), kind.alias("discordance_type")).agg(F.count(F.lit(1)).alias("count"))
 
 
 def diagnose(alignments: DataFrame, reference: DataFrame, config: DiagnosticsConfig = DiagnosticsConfig(), bed: DataFrame | None = None, contigs: DataFrame | None = None, width: int = bases.WIDTH) -> dict[str, DataFrame]:

@@ -1,7 +1,7 @@
 """Interval tables: half-open [start, end) on a contig.
 
-Joins go by (contig, bin), so that they are equi-joins with a residual condition, not nested loops. An interval is repeated for
-each bin that it touches; a table of intervals may be large.
+Masks are laid on the reference's bins before reads meet it. Filters of reads join by (contig, chunk) with a residual condition,
+never by nested loops. A table of intervals may be large.
 """
 
 from __future__ import annotations
@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BIN = 16_384
-
 
 def merged(bed: DataFrame) -> DataFrame:
     """Overlapping or adjacent intervals made one."""
@@ -22,16 +20,24 @@ def merged(bed: DataFrame) -> DataFrame:
     return island.groupBy("contig", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("contig", "start", "end")
 
 
-def binned(bed: DataFrame, width: int = BIN) -> DataFrame:
-    bins = F.sequence(F.floor(F.col("start") / width), F.floor((F.greatest("end", F.col("start") + 1)) / width))
-    return bed.select(F.col("contig").alias("bed_contig"), F.col("start").alias("bed_start"), F.col("end").alias("bed_end"), F.explode(bins).alias("bed_bin"))
+def masked_reference(reference: DataFrame, bed: DataFrame, width: int, letter: str = "N") -> DataFrame:
+    """A reference in bins of this width with every base that lies in an interval replaced by letter.
+
+    Masking the reference costs what the reference has, not what the reads have: no base of a read meets an interval. A bin's
+    intervals, once merged, are at most half its width.
+    """
+    pieces = merged(bed).where("end > 0").withColumn("bin", F.explode(F.expr(f"sequence(greatest(start, 0L) div {width}, greatest(start, end - 1) div {width})")))
+    low, high = F.greatest(F.col("start") - F.col("bin") * width, F.lit(0)), F.least(F.col("end") - F.col("bin") * width, F.lit(width))
+    cuts = pieces.select("contig", "bin", F.struct(low.cast("int").alias("low"), high.cast("int").alias("high")).alias("cut")).groupBy("contig", "bin").agg(F.sort_array(F.collect_list("cut")).alias("cuts"))
+    seq, cut = F.col("seq"), F.col("cuts")
 
+    def piece(c: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.get(cut, i - 1)["high"]).otherwise(0)
+        return F.concat(seq.substr(before + 1, c["low"] - before), F.repeat(F.lit(letter), F.least(c["high"], F.length(seq)) - c["low"]))
 
-def without_points(rows: DataFrame, bed: DataFrame, position: str = "g_pos", width: int = BIN) -> DataFrame:
-    """Rows whose position lies in no interval."""
-    at = F.floor(F.col(position) / width)
-    inside = (F.col("contig") == F.col("bed_contig")) & (at == F.col("bed_bin")) & (F.col(position) >= F.col("bed_start")) & (F.col(position) < F.col("bed_end"))
-    return rows.join(binned(bed, width), inside, "left_anti")
+    tail = seq.substr(F.element_at(cut, -1)["high"] + 1, F.lit(width))
+    whole = F.when(cut.isNull(), seq).otherwise(F.concat(F.array_join(F.transform(cut, piece), ""), tail))
+    return reference.join(cuts, ["contig", "bin"], "left").withColumn("seq", whole).select(*reference.columns)
 
 
 def chunk_intervals(bed: DataFrame, region_size: int, contigs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandframe.config import DiagnosticsConfig
 from strandframe.functions import exprs
-from strandframe.operators import bases
+from strandframe.operators import bases, intervals
 
 
 def insert_merged(counts: DataFrame, longest: int) -> DataFrame:
@@ -32,8 +32,9 @@ def clip_mismatches(reads: DataFrame, reference: DataFrame, config: DiagnosticsC
     """Mismatches in soft clips whose bases of sufficient quality agree with the reference to softclip_threshold: mismatch_type, read_num, read_position, count."""
     from pyspark.sql import Window as W
 
+    reference = reference if bed is None else intervals.masked_reference(reference, bed, width)
     rows = bases.clipped(bases.on_reference(reads, reference, width), ["rec_idx", "contig", "read_num", "is_rev", "seq_len"])
-    rows = bases.masked(rows.where(F.col("qual") >= config.min_base_quality), bed)
+    rows = rows.where(F.col("qual") >= config.min_base_quality)
     identity = F.avg((F.col("read_base") == F.col("ref_base")).cast("double")).over(W.partitionBy("rec_idx", "side"))
     rows = rows.withColumn("identity", identity).where((F.col("identity") >= config.softclip_threshold) & (F.col("read_base") != F.col("ref_base")))
     change = exprs.base_change(F.col("ref_base"), F.col("read_base"), F.col("is_rev"), F.col("read_num"), config.methylation)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,8 +20,8 @@ def _reads(alignments: DataFrame, config: MismatchConfig, bed: DataFrame | None,
     return bases.with_mates(reads)
 
 
-def _aligned(reads: DataFrame, config: MismatchConfig, mask: DataFrame | None) -> DataFrame:
-    rows = bases.masked(bases.aligned(reads, _KEEP).withColumn("ref_base", F.upper("ref_base")), mask)
+def _aligned(reads: DataFrame, config: MismatchConfig) -> DataFrame:
+    rows = bases.aligned(reads, _KEEP).withColumn("ref_base", F.upper("ref_base"))
     rows = rows.where(exprs.countable(F.col("read_base")) & exprs.countable(F.col("ref_base")))
     if config.overlap_mode == "cut":
         inside = exprs.sure((F.col("g_pos") >= F.col("overlap_start")) & (F.col("g_pos") < F.col("overlap_end")))
@@ -31,12 +31,12 @@ def _aligned(reads: DataFrame, config: MismatchConfig, mask: DataFrame | None) -
 
 def aligned_bases(alignments: DataFrame, reference: DataFrame, config: MismatchConfig, width: int = bases.WIDTH) -> DataFrame:
     """The aligned bases that count, without clips and intervals; narrow but for the join with the reference."""
-    return _aligned(bases.on_reference(_reads(alignments, config, None, None), reference, width), config, None)
+    return _aligned(bases.on_reference(_reads(alignments, config, None, None), reference, width), config)
 
 
-def placed(rows: DataFrame, config: MismatchConfig, longest: int) -> DataFrame:
+def placed(rows: DataFrame, config: MismatchConfig, longest: int | Column) -> DataFrame:
     """Bases of sufficient quality as base_change, read_num, reference_order, base_position, source."""
-    length, top = F.col("seq_len"), F.lit(longest).cast("long")
+    length, top = F.col("seq_len"), (F.lit(longest) if isinstance(longest, int) else longest).cast("long")
     if config.position_mode == "read":
         place = exprs.read_position(F.col("r_pos"), length, top, F.col("is_rev"))
     else:
@@ -46,22 +46,25 @@ def placed(rows: DataFrame, config: MismatchConfig, longest: int) -> DataFrame:
     return good.select(change.alias("base_change"), "read_num", "reference_order", place.cast("long").alias("base_position"), "source")
 
 
-def counted_bases(alignments: DataFrame, reference: DataFrame, config: MismatchConfig, longest: int, bed: DataFrame | None = None, contigs: DataFrame | None = None, width: int = bases.WIDTH) -> DataFrame:
-    """A row for each base that counts: base_change, read_num, reference_order, base_position, source (align, clip)."""
-    mask = bed if bed is not None and check_bed_mode(config.bed_mode) == "mask" else None
+def counted_bases(alignments: DataFrame, reference: DataFrame, config: MismatchConfig, longest: int | None = None, bed: DataFrame | None = None, contigs: DataFrame | None = None, width: int = bases.WIDTH) -> DataFrame:
+    """A row for each base that counts: base_change, read_num, reference_order, base_position, source (align, clip).
+
+    Without longest it is a scalar of the same plan; nothing runs while the query is built. Masked bases have no letter in the reference.
+    """
+    if bed is not None and check_bed_mode(config.bed_mode) == "mask":
+        reference = intervals.masked_reference(reference, bed, width)
     reads = _reads(alignments, config, bed, contigs)
     # few reads have clips: only those go a second time to the reference
     with_clips = bases.on_reference(reads.where(bases.has_clips()), reference, width)
-    clips = bases.masked(bases.clipped(with_clips, _KEEP), mask)
+    clips = bases.clipped(with_clips, _KEEP)
     matches = F.avg((F.col("read_base") == F.col("ref_base")).cast("double")).over(W.partitionBy("rec_idx", "side"))
     clips = clips.withColumn("identity", matches).where(F.col("identity") >= config.softclip_identity).drop("identity", "side")
-    return placed(_aligned(bases.on_reference(reads, reference, width), config, mask).unionByName(clips.withColumn("source", F.lit("clip"))), config, longest)
+    top = bases.longest(alignments, config.length_sample).scalar() if longest is None else longest
+    return placed(_aligned(bases.on_reference(reads, reference, width), config).unionByName(clips.withColumn("source", F.lit("clip"))), config, top)
 
 
 def mismatch_counts(alignments: DataFrame, reference: DataFrame, config: MismatchConfig = MismatchConfig(), bed: DataFrame | None = None, contigs: DataFrame | None = None, longest: int | None = None, width: int = bases.WIDTH) -> DataFrame:
     """base_change, read_num, reference_order, base_position, count; matches count too."""
-    if longest is None:
-        longest = bases.longest_read(alignments, config.length_sample)
     rows = counted_bases(alignments, reference, config, longest, bed, contigs, width)
     return rows.groupBy("base_change", "read_num", "reference_order", "base_position").agg(F.count(F.lit(1)).alias("count"))
 

@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from strandframe.config import DiagnosticsConfig
 from strandframe.operators import diagnostics, legacy, rescale
+from strandframe.operators.plotprep import MISMATCHES
 from strandframe.plans import fixtures as fx
 
+_DISCORDANT = [f"R1:{a}_R2:{b}" for a in "ACGTN" for b in "ACGTN" if a != b]
 CONFIG = DiagnosticsConfig(min_count=3, min_depth=8, region_size=fx.REGION)
 
 
-def found(part: str, config: DiagnosticsConfig, with_bed: bool = False, table=fx.bed):
+def found(part: str, config: DiagnosticsConfig, with_bed: bool = False):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        bed = table(spark, sf_dir) if with_bed else None
+        bed = fx.bed(spark, sf_dir) if with_bed else None
         out = diagnostics.diagnose(fx.alignments(spark, sf_dir), fx.reference(spark, sf_dir), config, bed, fx.contigs(spark, sf_dir), fx.WIDTH)[part]
         return out.withColumnRenamed("g_pos", "position") if part == "depth" else out
 
@@ -112,12 +114,12 @@ def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return legacy.wide_positions(_overlaps(spark, sf_dir), ["A>C", "A>G", "A>T", "C>A"])
+    return legacy.wide_positions(_overlaps(spark, sf_dir), list(MISMATCHES))
 
 
 _MERGED_SQL = f"select case when mismatch_type[1] in ('G', 'T') then translate(mismatch_type, 'ACGT', 'TGCA') else mismatch_type end as mismatch_type, case when read_num = 1 then read_position else 58 - read_position end as insert_position, sum(count)::bigint as count from ({_OVERLAP_SQL}) group by all"
-_WIDE_SQL = "select read_num as \"Read\", read_position as \"Position\", " + ", ".join(f"coalesce(sum(count) filter (mismatch_type = '{t}'), 0)::bigint as \"{t}\"" for t in ("A>C", "A>G", "A>T", "C>A")) + f" from ({_OVERLAP_SQL}) group by 1, 2"
-_WIDE_INC_SQL = "select read1_position as \"Read1_Pos\", read2_position as \"Read2_Pos\", " + ", ".join(f"coalesce(sum(count) filter (discordance_type = '{t}'), 0)::bigint as \"{t}\"" for t in ("R1:A_R2:C", "R1:C_R2:A")) + f" from ({_sql(CONFIG) + _ENDS['inconsistencies']}) group by 1, 2"
+_WIDE_SQL = "select read_num as \"Read\", read_position as \"Position\", " + ", ".join(f"coalesce(sum(count) filter (mismatch_type = '{t}'), 0)::bigint as \"{t}\"" for t in MISMATCHES) + f" from ({_OVERLAP_SQL}) group by 1, 2"
+_WIDE_INC_SQL = "select read1_position as \"Read1_Pos\", read2_position as \"Read2_Pos\", " + ", ".join(f"coalesce(sum(count) filter (discordance_type = '{t}'), 0)::bigint as \"{t}\"" for t in _DISCORDANT) + f" from ({_sql(CONFIG) + _ENDS['inconsistencies']}) group by 1, 2"
 
 QUERIES = {
     "depth": _query("depth"),
@@ -135,7 +137,7 @@ QUERIES = {
     "clip_mismatches": (_clips, _CLIP_SQL),
     "insert_merge_canonical": (_merged, _MERGED_SQL),
     "wide_position_table": (_wide, _WIDE_SQL),
-    "wide_inconsistency_table": (lambda spark, sf_dir: legacy.wide_inconsistencies(found("inconsistencies", CONFIG)(spark, sf_dir), ["R1:A_R2:C", "R1:C_R2:A"]), _WIDE_INC_SQL),
+    "wide_inconsistency_table": (lambda spark, sf_dir: legacy.wide_inconsistencies(found("inconsistencies", CONFIG)(spark, sf_dir), list(_DISCORDANT)), _WIDE_INC_SQL),
     "read_counters": (_counters, _sql(CONFIG) + " select count(*) as total_records, count(*) filter (paired2 and rn = 1) as overlap_pairs from q2"),
     "rescaled_bases": (_changed, _new_qualities("a.clip") + " select rec_idx, r_pos, new_qual from new"),
     "rescale_quality": (_rescaled, _new_qualities("a.clip") + " select b.rec_idx, string_agg(coalesce(new_qual, qual)::varchar, ',' order by j) as qualities from bases b left join new on b.rec_idx = new.rec_idx and b.j = new.r_pos group by 1"),

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandframe.operators import bases
+from strandframe.staging import written
 
 LENGTH, WIDTH, REGION = 1000, 256, 250
 
@@ -54,15 +55,28 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The tables of alignments that this application has written, by application and sf_dir.
+_MADE: dict[tuple[str, str], DataFrame] = {}
+
+
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alignments as a table that was written once, as a file of reads would be; the queries share it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MADE:
+        _MADE[key] = written(_alignments(spark, sf_dir), "alignments")
+    return _MADE[key]
+
+
+def _alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "with " + READS.replace("from orders", "from {orders}").replace("join region", "join {region}") + " select * from reads"
     reads = spark.sql(text, orders=_read(spark, sf_dir, "orders"), region=F.broadcast(_read(spark, sf_dir, "region")))
-    # kept, as a file that was read would be: the queries share it, and none makes sequences anew
+    # in parts for all cores, each sorted by place
+    reads = reads.repartition(spark.sparkContext.defaultParallelism, "rec_idx").sortWithinPartitions("rec_idx")
     return reads.selectExpr(
         "rec_idx", "concat('f', k) as qname", "int(flag) as flag", "int(contig_id) as tid", "contig", "pos", "int(mapq) as mapq", f"{_cigar('clip')} as cigar", "int(mtid) as mtid", "mpos",
         f"array_join(transform(sequence(0L, n - 1), j -> {_base('j')}), '') as seq", "transform(sequence(0L, n - 1), j -> int(10 + (k * 3 + j * 5 + side) % 35)) as qual",
         f"if(mate_span is not null, {_cigar('mclip')}, null) as mc", "'' as tags",
-    ).persist()
+    )
 
 
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,11 +94,6 @@ def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = _read(spark, sf_dir, "part").where("p_partkey < 40").selectExpr("int(p_partkey % 5) as tid", "(p_partkey * 41) % 950 as start", "(p_partkey * 41) % 950 + 1 + p_size % 20 as end")
-    return part.join(contigs(spark, sf_dir), "tid").select("contig", "start", "end")
-
-
-def bed_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An interval for each row of part; they start at 19 places of a contig, so that much of it stays uncovered at any size."""
     part = _read(spark, sf_dir, "part").selectExpr("int(p_partkey % 5) as tid", "(p_partkey * 41) % 19 * 50 as start", "(p_partkey * 41) % 19 * 50 + 1 + p_size % 20 as end")
     return part.join(contigs(spark, sf_dir), "tid").select("contig", "start", "end")
@@ -94,11 +103,6 @@ _CLASSES = "'A>C', 'A>G', 'A>T', 'C>A', 'C>G', 'C>T', 'G>A', 'G>C', 'G>T', 'T>A'
 
 
 def discounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _read(spark, sf_dir, "supplier").where("s_suppkey < 60")
-    return rows.selectExpr(f"array({_CLASSES})[int(s_suppkey % 12)] as base_change", "int(1 + s_suppkey % 2) as read_num", "1 + s_suppkey % 24 as base_position", "s_suppkey % 7 as discount_count")
-
-
-def discounts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "supplier")
     return rows.selectExpr(f"array({_CLASSES})[int(s_suppkey % 12)] as base_change", "int(1 + s_suppkey % 2) as read_num", "1 + s_suppkey % 24 as base_position", "s_suppkey % 7 as discount_count")
 
@@ -111,10 +115,8 @@ def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- the same for DuckDB
 
-BED = f"bed as (select r_name as contig, (p_partkey * 41) % 950 as b0, (p_partkey * 41) % 950 + 1 + p_size % 20 as b1 from part join region on r_regionkey = p_partkey % 5 where p_partkey < 40)"  # noqa: F541
-DISCOUNTS = f"disc as (select [{_CLASSES}][(1 + s_suppkey % 12)::int] as base_change, (1 + s_suppkey % 2)::int as read_num, 1 + s_suppkey % 24 as base_position, sum(s_suppkey % 7)::bigint as d from supplier where s_suppkey < 60 group by all)"
-BED_WHOLE = "bed as (select r_name as contig, (p_partkey * 41) % 19 * 50 as b0, (p_partkey * 41) % 19 * 50 + 1 + p_size % 20 as b1 from part join region on r_regionkey = p_partkey % 5)"
-DISCOUNTS_WHOLE = f"disc as (select [{_CLASSES}][(1 + s_suppkey % 12)::int] as base_change, (1 + s_suppkey % 2)::int as read_num, 1 + s_suppkey % 24 as base_position, sum(s_suppkey % 7)::bigint as d from supplier group by all)"
+BED = "bed as (select r_name as contig, (p_partkey * 41) % 19 * 50 as b0, (p_partkey * 41) % 19 * 50 + 1 + p_size % 20 as b1 from part join region on r_regionkey = p_partkey % 5)"
+DISCOUNTS = f"disc as (select [{_CLASSES}][(1 + s_suppkey % 12)::int] as base_change, (1 + s_suppkey % 2)::int as read_num, 1 + s_suppkey % 24 as base_position, sum(s_suppkey % 7)::bigint as d from supplier group by all)"
 
 #: Every read base: kind (align, clip, ins), offset j, place g, letters, quality; is_rev, read_num, ord, mate_stop, fragment, overlap.
 BASES = f"""

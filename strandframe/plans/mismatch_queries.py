@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandframe.config import MismatchConfig, ReadFilter
-from strandframe.operators import bases, intervals, mismatch
+from strandframe.operators import intervals, mismatch
 from strandframe.plans import fixtures as fx
 
 CONFIG = MismatchConfig(region_size=fx.REGION)
 READ_CUT = replace(CONFIG, position_mode="read")
 
 
-def counts(spark: SparkSession, sf_dir: str, config: MismatchConfig, with_bed: bool = False, bed=fx.bed) -> DataFrame:
-    table = bed(spark, sf_dir) if with_bed else None
+def counts(spark: SparkSession, sf_dir: str, config: MismatchConfig, with_bed: bool = False) -> DataFrame:
+    table = fx.bed(spark, sf_dir) if with_bed else None
     return mismatch.mismatch_counts(fx.alignments(spark, sf_dir), fx.reference(spark, sf_dir), config, table, fx.contigs(spark, sf_dir), width=fx.WIDTH)
 
 
@@ -57,8 +57,7 @@ def _counts_query(config: MismatchConfig, with_bed: bool = False) -> tuple:
 
 
 def _softclip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    longest = bases.longest_read(fx.alignments(spark, sf_dir), READ_CUT.length_sample)
-    rows = mismatch.counted_bases(fx.alignments(spark, sf_dir), fx.reference(spark, sf_dir), READ_CUT, longest, width=fx.WIDTH)
+    rows = mismatch.counted_bases(fx.alignments(spark, sf_dir), fx.reference(spark, sf_dir), READ_CUT, width=fx.WIDTH)
     return rows.groupBy("source", "base_change", "base_position").agg(F.count(F.lit(1)).alias("count"))
 
 

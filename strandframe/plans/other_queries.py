@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandframe.functions import cigar, exprs
 from strandframe.operators import bases, plotprep
 from strandframe.plans import fixtures as fx
+from strandframe.staging import written
 from strandframe.plans.mismatch_queries import CONFIG, READ_CUT, counts, counts_sql
 
 
@@ -16,11 +17,12 @@ def _mates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _longest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(bases.longest_read(fx.alignments(spark, sf_dir), 100),)], "max_read_len long")
+    return bases.longest(fx.alignments(spark, sf_dir), CONFIG.length_sample).withColumnRenamed("n", "max_read_len")
 
 
 def _table(config):
-    return lambda spark, sf_dir: counts(spark, sf_dir, config).withColumnRenamed("base_position", "position")
+    # a table of a few hundred rows that a plot's queries use more than once
+    return lambda spark, sf_dir: written(counts(spark, sf_dir, config).withColumnRenamed("base_position", "position"), "counts")
 
 
 def _rows(config, insert_mode: bool = False):
@@ -51,14 +53,16 @@ def _sums_sql(keys: str) -> str:
 
 def _md(spark: SparkSession, sf_dir: str) -> DataFrame:
     miss, match = cigar.md_tag(F.col("md"))
-    rows = spark.createDataFrame([(x,) for x in ("5A4", "3^AC5", "2A3T4", "10", "0C0g12")], "md string").select("md", miss.alias("miss"), match.alias("match"))
+    # a tag for each record, with a mismatch, a deletion and a lower-case mismatch at distances that follow from its number
+    rows = fx.alignments(spark, sf_dir).selectExpr("rec_idx", "concat(rec_idx % 30, 'A', rec_idx % 7, '^AC', rec_idx % 5, 't', rec_idx % 11) as md").select("rec_idx", miss.alias("miss"), match.alias("match"))
     joined = lambda c, a, b: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x[a].cast("string"), x[b].cast("string"))), ",")
-    return rows.select("md", joined("miss", "pos", "base").alias("mismatches"), joined("match", "start", "len").alias("matches"))
+    return rows.select("rec_idx", joined("miss", "pos", "base").alias("mismatches"), joined("match", "start", "len").alias("matches"))
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(x,) for x in ("10M", "5M2D3M", "5M3I2M", "", "10?", "12", "3S4M100N2M5H")], "cigar string")
-    return rows.select("cigar", cigar.text_span(F.col("cigar")).alias("span"))
+    # every tenth text is made malformed
+    rows = fx.alignments(spark, sf_dir).selectExpr("rec_idx", "if(rec_idx % 10 = 0, concat(cigar, '?'), cigar) as cigar")
+    return rows.select("rec_idx", cigar.text_span(F.col("cigar")).alias("span"))
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,12 +71,12 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(0, 2000).select(exprs.fixed6(F.col("id") / 128.0).alias("text"))
+    return fx.alignments(spark, sf_dir).select("rec_idx", exprs.fixed6((F.col("rec_idx") % 100003) / 128.0).alias("text"))
 
 
 _READ_SQL = f"with {fx.READS}, {fx.BASES}"
 QUERIES = {
-    "max_read_len": (_longest, f"with {fx.READS} select max(n) as max_read_len from (select n from reads order by rec_idx limit 100)"),
+    "max_read_len": (_longest, f"with {fx.READS} select max(n) as max_read_len from (select n from reads order by rec_idx limit {CONFIG.length_sample})"),
     "regions": (
         lambda spark, sf_dir: bases.regions(fx.contigs(spark, sf_dir), 300),
         f"select r_regionkey as tid, r_name as contig, s as start, least(s + 300, {fx.LENGTH}) as \"end\" from region, (select unnest(range(0, {fx.LENGTH}, 300)) as s)",
@@ -93,7 +97,9 @@ union all select rec_idx, clip + 6, pos + 8, n - clip - 6 from reads where del =
     "plot_combined": (lambda spark, sf_dir: plotprep.combined(_rows(READ_CUT)(spark, sf_dir)), _rows_sql(READ_CUT) + _COMBINED + " select * from comb"),
     "plot_sum": (_sums(False), _sums_sql("read_num, position")),
     "plot_sum_reads": (_sums(True), _sums_sql("position")),
-    "md_tag": (_md, "select * from (values ('5A4', '5:A', '0:5,6:4'), ('3^AC5', '', '0:3,3:5'), ('2A3T4', '2:A,6:T', '0:2,3:3,7:4'), ('10', '', '0:10'), ('0C0g12', '0:C,1:G', '2:12')) v(md, mismatches, matches)"),
-    "cigar_span": (_spans, "select * from (values ('10M', 10::bigint), ('5M2D3M', 10), ('5M3I2M', 7), ('', 0), ('10?', null), ('12', null), ('3S4M100N2M5H', 106)) v(cigar, span)"),
-    "fixed_format": (_fixed, "select printf('%.6f', (i / 128.0)::double) as text from (select unnest(range(2000)) as i)"),
+    "md_tag": (_md, f"""with {fx.READS}, n as (select rec_idx, rec_idx % 30 as a, rec_idx % 7 as b, rec_idx % 5 as c, rec_idx % 11 as d from reads)
+select rec_idx, a || ':A,' || (a + 1 + b + c) || ':T' as mismatches, concat_ws(',', case when a > 0 then '0:' || a end, case when b > 0 then (a + 1) || ':' || b end,
+  case when c > 0 then (a + 1 + b) || ':' || c end, case when d > 0 then (a + b + c + 2) || ':' || d end) as matches from n"""),
+    "cigar_span": (_spans, f"with {fx.READS} select rec_idx, case when rec_idx % 10 <> 0 then stop - pos end as span from reads"),
+    "fixed_format": (_fixed, f"with {fx.READS} select rec_idx, printf('%.6f', ((rec_idx % 100003) / 128.0)::double) as text from reads"),
 }

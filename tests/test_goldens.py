@@ -299,9 +299,8 @@ def test_unused_fragment_lengths_warn():
         MismatchConfig(min_fragment_length=5)
 
 
-def test_sample_table(spark):
-    table = plotprep.sample_table(spark)
-    assert sorted(rows(table)) == sorted(rows(plotprep.sample_table(spark))) and table.where("count <= 0").count() == 0
-    bump = table.where("base_change = 'C>T' and read_num = 1").groupBy("reference_order").agg(F.max_by("fragment_position", "count").alias("at"))
-    near = dict(map(tuple, bump.collect()))
-    assert near[1] < 20 and near[2] > 80
+def test_demo_table(spark):
+    table = plotprep.demo_table(spark)
+    assert sorted(rows(table)) == sorted(rows(plotprep.demo_table(spark))) and table.where("count <= 0").count() == 0
+    top = {r["base_change"]: r["at"] for r in table.groupBy("base_change").agg(F.max_by("fragment_position", "count").alias("at")).collect()}
+    assert top["C>T"] < 8 and top["G>A"] > 52 and table.count() == 12 * 2 * 2 * 60

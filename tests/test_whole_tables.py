@@ -1,21 +1,19 @@
-"""The _whole queries take each row of part and supplier, and leave some of each contig uncovered; test_queries holds them against SQL."""
+"""The queries over intervals and discounts take each row of part and supplier, and leave some of each contig uncovered."""
 
 from strandframe.plans import fixtures as fx
 from strandframe.plans import registry
 
 SF = "/root/testdata/sf0.01"
-NAMES = "mismatch_bed_mask mismatch_bed_filter bed_merge bed_masked_bases depth_bed_filter variants_bed_mask variants_bed_filter discount_apply discount_touched".split()
 
 
 def test_no_id_subsets(spark):
     rows = lambda t: spark.read.parquet(f"{SF}/{t}.parquet").count()
-    assert fx.bed_whole(spark, SF).count() == rows("part") > 40
-    assert fx.discounts_whole(spark, SF).count() == rows("supplier") > 60
-    masked = [r["masked"] for r in registry.queries()["bed_masked_bases_whole"](spark, SF).collect()]
+    assert fx.bed(spark, SF).count() == rows("part") > 40
+    assert fx.discounts(spark, SF).count() == rows("supplier") > 60
+    masked = [r["masked"] for r in registry.queries()["bed_masked_bases"](spark, SF).collect()]
     assert len(masked) == 5 and all(0 < n < fx.LENGTH // 2 for n in masked)
 
 
 def test_oracles_have_no_filter_on_ids():
-    for name in NAMES:
-        sql = registry.oracle_sql()[f"{name}_whole"]
-        assert "p_partkey <" not in sql and "s_suppkey <" not in sql and sql != registry.oracle_sql()[name]
+    for sql in registry.oracle_sql().values():
+        assert "p_partkey <" not in sql and "s_suppkey <" not in sql
