@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 
 from strandframe.config import DiagnosticsConfig, MismatchConfig, ReadFilter, RescaleConfig
-from strandframe.operators import bases, diagnostics, mismatch, rescale
+from strandframe.operators import bases, diagnostics, mismatch, plotprep, rescale
 from strandframe.sources import bam, fasta, sam, sinks, tables
 
 
@@ -26,6 +26,9 @@ def _mismatch(spark: SparkSession, a) -> None:
     counts = mismatch.mismatch_counts(reads, fasta.read_bins(spark, a.reference), config, tables.maybe_bed(spark, a.bed_file), contigs)
     kind, table = mismatch.report(counts, tables.read_discounts(spark, a.discount_table) if a.discount_table else None, a.normalize, a.emit_rescaling_matrix)
     insert = config.position_mode == "insert"
+    if a.plot and kind != "matrix":
+        y = "count" if kind == "raw" else "normalized_frequency"
+        sinks.write_series(plotprep.zero_filled(plotprep.prepared(table.withColumnRenamed("base_position", "position"), y, insert)), a.plot)
     {"raw": lambda: sinks.write_counts(table, a.output, insert), "normalized": lambda: sinks.write_normalized(table, a.output, insert), "matrix": lambda: sinks.write_matrix(table, a.output)}[kind]()
 
 
@@ -63,6 +66,7 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("alignments", help="SAM or BAM")
         s.add_argument("reference", help="FASTA")
         s.add_argument("-r", "--region-size", type=int, default=region)
+        s.add_argument("-t", "--threads", type=int, default=0, help="threads on this machine, if there is no --master; 0: as Spark is set up")
         return s
 
     def filters(s, short: bool) -> None:
@@ -85,6 +89,7 @@ def parser() -> argparse.ArgumentParser:
     m.add_argument("--normalize", action="store_true")
     m.add_argument("--emit-rescaling-matrix", action="store_true")
     m.add_argument("-o", "--output", default="-")
+    m.add_argument("--plot", metavar="FILE", help="write the series behind a plot of the counts as a table (nothing is drawn)")
     d = common("diagnostics", 10_000_000)
     filters(d, False)
     d.add_argument("-m", "--methylation", action="store_true")
@@ -93,9 +98,9 @@ def parser() -> argparse.ArgumentParser:
     d.add_argument("--softclip-threshold", type=float, default=0.66)
     d.add_argument("--genomic-threshold", type=int, default=7)
     d.add_argument("--genomic-depth-threshold", type=int, default=10)
-    d.add_argument("--variants-output", default="variants.tsv")
-    d.add_argument("--inconsistencies-output", default="inconsistencies.tsv")
-    d.add_argument("--discount-output", default="-")
+    d.add_argument("--variants-output", default="potential_variants.tsv")
+    d.add_argument("--inconsistencies-output", default="read_pair_inconsistencies.tsv")
+    d.add_argument("--discount-output", default="variant_discounts.tsv")
     r = common("rescale", 10_000_000)
     r.add_argument("matrix")
     r.add_argument("-o", "--output", default="-")
@@ -106,7 +111,8 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     a = parser().parse_args(arguments)
     if spark is None:
         builder = SparkSession.builder.appName(f"strandframe {a.query}")
-        spark = (builder.master(a.master) if a.master else builder).getOrCreate()
+        master = a.master or (f"local[{a.threads}]" if a.threads else None)
+        spark = (builder.master(master) if master else builder).getOrCreate()
     {"mismatch": _mismatch, "diagnostics": _diagnostics, "rescale": _rescale}[a.query](spark, a)
 
 

@@ -75,7 +75,8 @@ def _alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.selectExpr(
         "rec_idx", "concat('f', k) as qname", "int(flag) as flag", "int(contig_id) as tid", "contig", "pos", "int(mapq) as mapq", f"{_cigar('clip')} as cigar", "int(mtid) as mtid", "mpos",
         f"array_join(transform(sequence(0L, n - 1), j -> {_base('j')}), '') as seq", "transform(sequence(0L, n - 1), j -> int(10 + (k * 3 + j * 5 + side) % 35)) as qual",
-        f"if(mate_span is not null, {_cigar('mclip')}, null) as mc", "'' as tags",
+        f"if(mate_span is not null, {_cigar('mclip')}, null) as mc", "concat('NM:C:', k % 200, '\\tXF:f:', array('0.0', '0.125', '0.25', '0.375', '0.5', '0.625', '0.75', '0.875')[int(k % 8)]) as tags",
+        "if(mtid >= 0, contig, '*') as mcontig", "int(if(paired = 1, if(side = 0, 1, -1) * (greatest(stop, pos + 1) - pos + k % 40), 0)) as tlen",
     )
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandframe.plans import diagnostics_queries, mismatch_queries, other_queries
+from strandframe.plans import diagnostics_queries, mismatch_queries, other_queries, source_queries
 
-_PARTS = (mismatch_queries, diagnostics_queries, other_queries)
+_PARTS = (mismatch_queries, diagnostics_queries, other_queries, source_queries)
 
 
 def queries() -> dict:

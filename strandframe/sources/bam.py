@@ -1,8 +1,12 @@
-"""BAM files: a data source that reads them, and a writer. Plain zlib and struct; files on any file system pyarrow can open.
+"""BAM files: a data source that reads them, a writer and an index. Plain zlib and struct; files on any file system pyarrow can open.
 
 spark.dataSource.register(BamSource); spark.read.format("bam").option("region", "chr1:0-1000").load(path). Several paths may be
-given, separated by commas. A file is cut at block boundaries into parts of about split_bytes; a part begins with the first
-record that starts in it, which a pass over the file's blocks finds on the driver without keeping them.
+given, separated by commas. A file is cut into byte ranges of split_bytes; a task looks for the first block that begins in its range and
+for the first record that begins there, so no pass over the file comes before. With an index beside the file (.bai) a region reads
+only the chunks that the index names. rec_idx is a record's virtual offset (and the file's number), so it needs no counting: it
+tells records apart and is in file order.
+
+Integer tags keep their width as a letter (NM:C:5); SAM text has one kind of integers.
 """
 
 from __future__ import annotations
@@ -11,7 +15,11 @@ import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -20,6 +28,8 @@ from strandframe import schema
 _LETTERS, _OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
 _END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 SPLIT = 32 << 20
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+_FIELDS = pa.schema([(n, _TYPES[k]) for n, k in (x.split(" ") for x in schema.ALIGNMENTS.split(", "))])
 
 
 def _open(path: str):
@@ -107,17 +117,17 @@ def _tags(raw: bytes) -> Iterator[str]:
         elif kind == "B":
             of, n = chr(raw[i]), struct.unpack_from("<i", raw, i + 1)[0]
             values = struct.unpack_from(f"<{n}{sizes[of]}", raw, i + 5)
-            yield f"{tag}:B:{','.join([of, *(f'{v:g}' if of == 'f' else str(v) for v in values)])}"
+            yield f"{tag}:B:{','.join([of, *(str(np.float32(v)) if of == 'f' else str(v) for v in values)])}"
             i += 5 + struct.calcsize(f"<{n}{sizes[of]}")
         else:
             (v,) = struct.unpack_from("<" + sizes[kind], raw, i)
-            yield f"{tag}:f:{v:g}" if kind == "f" else f"{tag}:i:{v}"
+            yield f"{tag}:f:{np.float32(v)!s}" if kind == "f" else f"{tag}:{kind}:{v}"
             i += struct.calcsize(sizes[kind])
 
 
 def decode(raw: bytes, contigs: list[tuple[str, int]], index: int) -> tuple:
     """A record's row."""
-    tid, pos, name, mapq, _, n_ops, flag, length, mtid, mpos, _ = struct.unpack_from("<iiBBHHHiiii", raw)
+    tid, pos, name, mapq, _, n_ops, flag, length, mtid, mpos, tlen = struct.unpack_from("<iiBBHHHiiii", raw)
     i = 32 + name
     ops = struct.unpack_from(f"<{n_ops}I", raw, i)
     i += 4 * n_ops
@@ -128,12 +138,103 @@ def decode(raw: bytes, contigs: list[tuple[str, int]], index: int) -> tuple:
     tags = list(_tags(raw[i + length :]))
     mc = next((t[5:] for t in tags if t.startswith("MC:Z:")), None)
     cigar = "".join(f"{x >> 4}{_OPS[x & 15]}" for x in ops) or "*"
-    return index, raw[32 : 31 + name].decode(), flag, tid, contigs[tid][0] if tid >= 0 else "*", pos, mapq, cigar, mtid, mpos, seq, qual, mc, "\t".join(tags)
+    return index, raw[32 : 31 + name].decode(), flag, tid, contigs[tid][0] if tid >= 0 else "*", pos, mapq, cigar, mtid, mpos, seq, qual, mc, "\t".join(tags), contigs[mtid][0] if mtid >= 0 else "*", tlen
+
+
+def _next_block(file, at: int, end: int) -> int | None:
+    """Offset of the first block that begins from at to before end: its header leads to another block's, or to the file's end."""
+    size = file.size()
+    while at < end:
+        window = file.read_at(min(end + 18 - at, 1 << 17), at)
+        i = window.find(b"\x1f\x8b\x08\x04")
+        while i >= 0 and i + 18 <= len(window):
+            if window[i + 12 : i + 14] == b"BC":
+                after = at + i + struct.unpack_from("<H", window, i + 16)[0] + 1
+                if after == size or (after < size and file.read_at(4, after) == b"\x1f\x8b\x08\x04"):
+                    return at + i if at + i < end else None
+            i = window.find(b"\x1f\x8b\x08\x04", i + 1)
+        at += max(len(window) - 17, 1)
+    return None
+
+
+def _looks_right(data: bytes, at: int, contigs: list[tuple[str, int]]) -> int | None:
+    """Where the record behind this one begins, if what is here can be a record."""
+    size, tid, pos, name, _, _, n_ops, _, length, mtid, mpos, _ = struct.unpack_from("<iiiBBHHHiiii", data, at)
+    right = size >= 32 and -1 <= tid < len(contigs) and -1 <= mtid < len(contigs) and pos >= -1 and mpos >= -1 and name > 0 and length >= 0
+    if not right or 32 + name + 4 * n_ops + (length + 1) // 2 + length > size:
+        return None
+    if (tid >= 0 and pos > contigs[tid][1]) or (mtid >= 0 and mpos > contigs[mtid][1]):
+        return None
+    text = data[at + 36 : at + 36 + name]
+    if len(text) == name and (text[-1] != 0 or any(not 33 <= c <= 126 for c in text[:-1])):
+        return None
+    ops = data[at + 36 + name : at + 36 + name + 4 * n_ops : 4]
+    return None if any(x & 15 > 8 for x in ops) else at + 4 + size
+
+
+def _first_record(file, block: int, contigs: list[tuple[str, int]]) -> int | None:
+    """Offset in the block's data of the first record that begins in it, found by following records for a while."""
+    data, many = b"", None
+    for _, part in blocks(file, block):
+        data += part
+        many = len(part) if many is None else many
+        if len(data) >= many + (1 << 18):
+            break
+    for start in range(many or 0):
+        at, seen = start, 0
+        while at is not None and seen < 24 and at + 36 <= len(data):
+            at, seen = _looks_right(data, at, contigs), seen + 1
+        if at is not None and seen:
+            return start
+    return None
+
+
+def read_index(path: str) -> list[tuple[dict[int, list[tuple[int, int]]], list[int]]] | None:
+    """Of each contig, the chunks by bin and the linear index; None if there is no index beside the file."""
+    try:
+        with _open(path + ".bai") as file:
+            raw = file.read_at(file.size(), 0)
+    except FileNotFoundError:
+        return None
+    if raw[:4] != b"BAI\1":
+        raise ValueError(f"{path}.bai isn't an index")
+    at, out = 8, []
+    for _ in range(struct.unpack_from("<i", raw, 4)[0]):
+        bins = {}
+        (many,) = struct.unpack_from("<i", raw, at)
+        at += 4
+        for _ in range(many):
+            number, n = struct.unpack_from("<Ii", raw, at)
+            bins[number] = list(struct.iter_unpack("<QQ", raw[at + 8 : at + 8 + 16 * n]))
+            at += 8 + 16 * n
+        (n,) = struct.unpack_from("<i", raw, at)
+        out.append((bins, list(struct.unpack_from(f"<{n}Q", raw, at + 4))))
+        at += 4 + 8 * n
+    return out
+
+
+def chunks(index: list, tid: int, start: int, end: int) -> list[tuple[int, int]]:
+    """The stretches of the file (virtual offsets) in which records that touch the region can be, in order and apart."""
+    bins, linear = index[tid]
+    least = linear[min(start >> 14, len(linear) - 1)] if linear else 0
+    found = []
+    for shift, first in ((26, 1), (23, 9), (20, 73), (17, 585), (14, 4681)):
+        for number in range(first + (start >> shift), first + (max(end - 1, start) >> shift) + 1):
+            found += bins.get(number, [])
+    out: list[tuple[int, int]] = []
+    for low, high in sorted((max(a, least), b) for a, b in (*found, *bins.get(0, [])) if b > least):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], high))
+        else:
+            out.append((low, high))
+    return out
 
 
 class _Part(InputPartition):
-    def __init__(self, path: str, start: tuple[int, int], end: int, index: int) -> None:
-        self.path, self.start, self.end, self.index = path, start, end, index
+    """A byte range, or with chunk a stretch between virtual offsets."""
+
+    def __init__(self, path: str, number: int, start: int, end: int, chunk: bool = False) -> None:
+        self.path, self.number, self.start, self.end, self.chunk = path, number, start, end, chunk
 
 
 class BamReader(DataSourceReader):
@@ -144,39 +245,51 @@ class BamReader(DataSourceReader):
         self.region = (m[1], int(m[2]), int(m[3])) if m else None
 
     def partitions(self) -> list[_Part]:
-        """Parts by file and place, with the number of the first record of each."""
-        parts, index = [], 0
-        for path in self.paths:
-            _, _, first = header(path)
-            stream = _Stream(_open(path), *first)
-            begin, at, count = first, first, index
-            while (size := stream.take(4)) is not None:
-                if at[0] - begin[0] >= self.split:
-                    parts.append(_Part(path, begin, at[0] << 16 | at[1], index))
-                    begin, index = at, count
-                stream.take(struct.unpack("<i", size)[0])
-                count += 1
-                at = stream.where()
-            parts.append(_Part(path, begin, 1 << 62, index))
-            index = count
+        parts = []
+        for number, path in enumerate(self.paths):
+            index = read_index(path) if self.region else None
+            if index is not None:
+                names = [n for n, _ in header(path)[1]]
+                found = chunks(index, names.index(self.region[0]), *self.region[1:]) if self.region[0] in names else []
+                parts += [_Part(path, number, a, b, True) for a, b in found]
+            else:
+                with _open(path) as file:
+                    size = file.size()
+                parts += [_Part(path, number, a, min(a + self.split, size)) for a in range(0, size, self.split)]
         return parts
 
-    def read(self, part: _Part) -> Iterator[tuple]:
-        _, contigs, _ = header(part.path)
-        stream, index = _Stream(_open(part.path), *part.start), part.index
+    def rows(self, part: _Part) -> Iterator[tuple]:
+        _, contigs, first = header(part.path)
+        file = _open(part.path)
+        if part.chunk:
+            begin, end = (part.start >> 16, part.start & 0xFFFF), part.end
+        else:
+            begin, end = first if part.start <= first[0] else None, part.end << 16
+            at = part.start
+            while begin is None:
+                block = _next_block(file, at, part.end)
+                if block is None:
+                    return
+                skip = _first_record(file, block, contigs)
+                begin, at = None if skip is None else (block, skip), block + 1
+        stream = _Stream(file, *begin)
         while True:
             block, offset = stream.where()
-            if block << 16 | offset >= part.end:
+            if block < 0 or block << 16 | offset >= end:
                 return
             size = stream.take(4)
             if size is None:
                 return
             raw = stream.take(struct.unpack("<i", size)[0])
-            row = decode(raw, contigs, index)
-            index += 1
+            row = decode(raw, contigs, part.number << 56 | block << 16 | offset)
             if self.region is None or (row[4] == self.region[0] and self.region[1] <= row[5] < self.region[2]):
                 yield row
 
+    def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
+        rows = self.rows(part)
+        while some := list(islice(rows, 2048)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), _FIELDS, strict=True)], schema=_FIELDS)
+
 
 class BamSource(DataSource):
     @classmethod
@@ -200,6 +313,9 @@ def read_contigs(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(i, n, x) for i, (n, x) in enumerate(header(path)[1])], schema.CONTIGS)
 
 
+_WIDTHS = {"c": "b", "C": "B", "s": "h", "S": "H", "I": "I"}
+
+
 def _tag_bytes(text: str) -> bytes:
     tag, kind, value = text.split(":", 2)
     if kind == "B":
@@ -207,7 +323,7 @@ def _tag_bytes(text: str) -> bytes:
         code = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}[of]
         data = [float(v) if of == "f" else int(v) for v in values]
         return tag.encode() + b"B" + of.encode() + struct.pack(f"<i{len(data)}{code}", len(data), *data)
-    body = {"Z": lambda: value.encode() + b"\0", "H": lambda: value.encode() + b"\0", "A": lambda: value.encode(), "f": lambda: struct.pack("<f", float(value)), "i": lambda: struct.pack("<i" if int(value) < 1 << 31 else "<I", int(value))}[kind]()
+    body = {"Z": lambda: value.encode() + b"\0", "H": lambda: value.encode() + b"\0", "A": lambda: value.encode(), "f": lambda: struct.pack("<f", float(value)), "i": lambda: struct.pack("<i" if int(value) < 1 << 31 else "<I", int(value)), **{k: (lambda k=k: struct.pack("<" + _WIDTHS[k], int(value))) for k in _WIDTHS}}[kind]()
     return tag.encode() + (b"I" if kind == "i" and int(value) >= 1 << 31 else kind.encode()) + body
 
 
@@ -226,7 +342,7 @@ def encode(row) -> bytes:
     codes += [0] * (len(codes) % 2)
     name = row["qname"].encode() + b"\0"
     tags = b"".join(_tag_bytes(t) for t in row["tags"].split("\t") if t) if row["tags"] else b""
-    head = struct.pack("<iiBBHHHiiii", row["tid"], row["pos"], len(name), row["mapq"], _bin(max(row["pos"], 0), max(row["pos"], 0) + max(span, 1)), len(ops), row["flag"], len(row["seq"]), row["mtid"], row["mpos"], 0)
+    head = struct.pack("<iiBBHHHiiii", row["tid"], row["pos"], len(name), row["mapq"], _bin(max(row["pos"], 0), max(row["pos"], 0) + max(span, 1)), len(ops), row["flag"], len(row["seq"]), row["mtid"], row["mpos"], row["tlen"] or 0)
     body = head + name + struct.pack(f"<{len(ops)}I", *ops) + bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True)) + bytes(row["qual"]) + tags
     return struct.pack("<i", len(body)) + body
 
@@ -237,24 +353,106 @@ def _block(data: bytes) -> bytes:
     return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(raw) + 25) + raw + struct.pack("<II", zlib.crc32(data), len(data))
 
 
-def write(rows: Iterable, text: str, contigs: list[tuple[str, int]], path: str) -> None:
-    """Writes a header and rows (in the order given) to a local file."""
+def _packed(parts: Iterable[bytes]) -> Iterator[bytes]:
+    """Blocks that hold these bytes."""
+    buffer = bytearray()
+    for x in parts:
+        buffer += x
+        while len(buffer) >= 65280:
+            yield _block(bytes(buffer[:65280]))
+            del buffer[:65280]
+    if buffer:
+        yield _block(bytes(buffer))
+
+
+def _header(text: str, contigs: list[tuple[str, int]]) -> bytes:
     head = b"BAM\1" + struct.pack("<i", len(text.encode())) + text.encode() + struct.pack("<i", len(contigs))
-    head += b"".join(struct.pack("<i", len(n.encode()) + 1) + n.encode() + b"\0" + struct.pack("<i", x) for n, x in contigs)
-    with open(path, "wb") as out:
-        buffer = bytearray(head)
-        for row in rows:
-            buffer += encode(row)
-            while len(buffer) >= 65280:
-                out.write(_block(bytes(buffer[:65280])))
-                del buffer[:65280]
-        if buffer:
-            out.write(_block(bytes(buffer)))
-        out.write(_END)
+    return head + b"".join(struct.pack("<i", len(n.encode()) + 1) + n.encode() + b"\0" + struct.pack("<i", x) for n, x in contigs)
+
+
+def _create(path: str):
+    from pyarrow import fs
+
+    system, place = fs.FileSystem.from_uri(path) if "://" in path or path.startswith(("/", "file:")) else (fs.LocalFileSystem(), path)
+    return system.open_output_stream(place, compression=None)
+
+
+def write(rows: Iterable, text: str, contigs: list[tuple[str, int]], path: str) -> None:
+    """Writes a header and rows (in the order given) to a file, from one process."""
+    with _create(path) as out:
+        for part in (_packed([_header(text, contigs)]), _packed(map(encode, rows)), [_END]):
+            for x in part:
+                out.write(x)
+
+
+def _write_part(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from uuid import uuid4
+
+        number, path = TaskContext.get().partitionId(), f"{folder}/{uuid4().hex}"
+        with _create(path) as out:
+            for x in _packed(encode(row) for b in batches for row in b.to_pylist()):
+                out.write(x)
+        yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([path])], ["number", "path"])
+
+    return run
 
 
 def write_alignments(records: DataFrame, text: str, contigs: list[tuple[str, int]], path: str) -> None:
-    """Placed records in order, then the others; rows stream through the driver, so this is for files of one machine's size."""
+    """Placed records in order, then the others. Tasks write the blocks of their parts to the shared folder; the driver copies them
+    one behind the other, which is a valid file, and looks at no record."""
     from strandframe.operators.rescale import in_order
+    from strandframe.staging import shared_path
+
+    folder = shared_path(records.sparkSession, "bam")
+    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    from pyarrow import fs
+
+    system, place = fs.FileSystem.from_uri(folder)
+    system.create_dir(place, recursive=True)
+    done = in_order(records).mapInArrow(_write_part(folder), "number long, path string").collect()  # a row a task
+    with _create(path) as out:
+        for x in _packed([_header(text, contigs)]):
+            out.write(x)
+        for part in sorted(done, key=lambda r: r["number"]):
+            with _open(part["path"]) as file:
+                for at in range(0, file.size(), 8 << 20):
+                    out.write(file.read_at(8 << 20, at))
+        out.write(_END)
+
 
-    write(in_order(records).toLocalIterator(), text, contigs, path)
+def write_index(path: str) -> None:
+    """Writes the index (.bai) of a file sorted by place; one pass over it."""
+    _, contigs, first = header(path)
+    bins: list[dict[int, list[list[int]]]] = [{} for _ in contigs]
+    linear: list[list[int]] = [[] for _ in contigs]
+    stream = _Stream(_open(path), *first)
+    block, offset = stream.where()
+    at = block << 16 | offset
+    while (size := stream.take(4)) is not None:
+        raw = stream.take(struct.unpack("<i", size)[0])
+        block, offset = stream.where()
+        after = block << 16 | offset if block >= 0 else 1 << 62
+        tid, pos, name, _, _, n_ops = struct.unpack_from("<iiBBHH", raw)
+        if tid >= 0:
+            span = sum(x >> 4 for x in struct.unpack_from(f"<{n_ops}I", raw, 32 + name) if _OPS[x & 15] in "MDN=X")
+            end = max(pos, 0) + max(span, 1)
+            held = bins[tid].setdefault(_bin(max(pos, 0), end), [])
+            if held and held[-1][1] == at:
+                held[-1][1] = after
+            else:
+                held.append([at, after])
+            windows = linear[tid]
+            windows += [0] * (((end - 1) >> 14) + 1 - len(windows))
+            for w in range(max(pos, 0) >> 14, ((end - 1) >> 14) + 1):
+                windows[w] = windows[w] or at
+        at = after
+    with _create(path + ".bai") as out:
+        out.write(b"BAI\1" + struct.pack("<i", len(contigs)))
+        for of, windows in zip(bins, linear, strict=True):
+            out.write(struct.pack("<i", len(of)))
+            for number, held in sorted(of.items()):
+                out.write(struct.pack("<Ii", number, len(held)) + b"".join(struct.pack("<QQ", *c) for c in held))
+            for i in range(1, len(windows)):
+                windows[i] = windows[i] or windows[i - 1]
+            out.write(struct.pack(f"<i{len(windows)}Q", len(windows), *windows))

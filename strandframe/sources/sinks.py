@@ -18,6 +18,14 @@ def write_lines(lines: Iterable[str], path: str | None) -> None:
         sys.stdout.writelines(f"{x}\n" for x in lines)
         sys.stdout.flush()
         return
+    if "://" in path or path.startswith("file:"):
+        from pyarrow import fs
+
+        system, place = fs.FileSystem.from_uri(path)
+        with system.open_output_stream(place, compression=None) as f:
+            for x in lines:
+                f.write(f"{x}\n".encode())
+        return
     with open(path, "w", encoding="utf-8") as f:
         f.writelines(f"{x}\n" for x in lines)
 
@@ -63,6 +71,11 @@ def write_discounts(table: DataFrame, path: str | None = None) -> None:
     _write(table.orderBy("read_num", "read_position", "mismatch_type").select("mismatch_type", "read_num", "read_position", "discount_count"), path)
 
 
+def write_series(series: DataFrame, path: str) -> None:
+    """The series of plotprep.zero_filled()."""
+    _write(series.orderBy("read_num", "reference_order", "base_change", "position"), path)
+
+
 def write_wide_positions(wide: DataFrame, path: str | None = None) -> None:
     _write(wide.orderBy("Read", "Position"), path, separator=",")
 
