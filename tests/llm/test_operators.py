@@ -68,50 +68,59 @@ def test_empty_secrets_and_pages(spark, make, tmp_path):
     assert warc.read_records(warc.write(pages, f"file://{tmp_path}/w")).count() == 0
 
 
-@pytest.mark.parametrize("block", [200, 10**6])
-def test_katz(make, block):
+@pytest.mark.parametrize(("order", "block", "a_part"), [(2, 200, 100), (2, 10**6, 10**6), (3, 300, 500), (1, 500, 300), (4, 10**6, 1000)])
+def test_katz(make, tmp_path, order, block, a_part):
     rows = corpus()
-    tables, scored = katz.model_and_scores(make(rows), block)
+    tables, scored = katz.model_and_scores(make(rows), order, block, a_part)
     got = scored.collect()
     assert len(got) == len(rows)
-    texts = [(i, [*split(t), None]) for i, t in rows]
-    texts = [(i, [w if w is None else w.lower() for w in ws]) for i, ws in texts]
+    texts = [(i, [*(w.lower() for w in split(t)), None]) for i, t in rows]
     held = lambda i: i is None or zlib.crc32(str(i).encode()) % 10 == 0
-    c1, c2 = Counter(), Counter()
-    for i, ws in texts:
-        if not held(i):
-            h = None
-            for w in ws:
-                c1[w] += 1
-                c2[h, w] += 1
-                h = w
-    n, v = sum(c1.values()), len(c1)
-    of = lambda c: katz.discounts([Counter(c.values())[k] for k in range(1, katz.K + 2)])
-    d1, d2 = of(c1), of(c2)
-    unknown = sum(c * (1 - d1[min(c, 6)]) for c in c1.values()) / n
-    p1 = lambda w: d1[min(c1[w], 6)] * c1[w] / n if w in c1 else unknown
-    after = defaultdict(list)
-    for (h, w), c in c2.items():
-        after[h].append((w, c))
-    total = {h: c1[h] + all(c > katz.K for _, c in x) for h, x in after.items()}
-    weight = {h: (1 - sum(d2[min(c, 6)] * c for _, c in x) / total[h]) / (1 - sum(p1(w) for w, _ in x)) for h, x in after.items()}
-    p = lambda h, w: d2[min(c2[h, w], 6)] * c2[h, w] / total[h] if (h, w) in c2 else weight.get(h, 1.0) * p1(w)
-    for h in [None, *list(after)[:5]]:
-        assert math.isclose(sum(p(h, w) for w in c1) + weight[h] * unknown, 1)
+    grams = lambda ws, n: [tuple([None] * (n - 1) + ws)[k : k + n] for k in range(len(ws))]
+    c = {n: Counter(g for i, ws in texts if not held(i) for g in grams(ws, n)) for n in range(1, order + 1)}
+    n_tokens, v = sum(c[1].values()), len(c[1])
+    d = {n: katz.discounts([Counter(c[n].values())[k] for k in range(1, katz.K + 2)]) for n in c}
+    unknown = sum(x * (1 - d[1][min(x, 6)]) for x in c[1].values()) / n_tokens
+    after = {n: defaultdict(list) for n in c}
+    for n in c:
+        for g, x in c[n].items():
+            after[n][g[:-1]].append((g[-1], x))
+    kept = lambda n, g: d[n][min(c[n][g], 6)] * c[n][g]
+    total, weight = {}, {}
+
+    def p(n, g):
+        if n == 1:
+            return kept(1, g) / n_tokens if g in c[1] else unknown
+        if g in c[n]:
+            return kept(n, g) / total[n, g[:-1]]
+        return weight.get((n, g[:-1]), 1.0) * p(n - 1, g[1:])
+
+    for n in range(2, order + 1):
+        for h, x in after[n].items():
+            total[n, h] = sum(k for _, k in x) + all(k > katz.K for _, k in x)
+            weight[n, h] = (1 - sum(kept(n, (*h, w)) for w, _ in x) / total[n, h]) / (1 - sum(p(n - 1, (*h[1:], w)) for w, _ in x))
+        for h in list(after[n])[:6]:
+            rest = math.prod([weight[n, h], *(weight.get((m, h[n - m :]), 1.0) for m in range(2, n))]) * unknown
+            assert math.isclose(sum(p(n, (*h, w)) for (w,) in c[1]) + rest, 1)
     want = defaultdict(list)
     for i, ws in texts:
-        s, h = 0.0, None
-        for w in ws:
-            s += math.log10(p(h, w))
-            h = w
-        want[i].append((len(ws), sum(w in c1 for w in ws), n, sum(math.log10((c1[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), s))
+        s = sum(math.log10(p(order, g)) for g in grams(ws, order))
+        want[i].append((len(ws), sum((w,) in c[1] for w in ws), n_tokens, sum(math.log10((c[1][w,] + 0.1) / (n_tokens + 0.1 * (v + 1))) for w in ws), s))
     for i in want:
         a = sorted((r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got if r["doc_id"] == i)
         assert len(a) == len(want[i])
         for x, y in zip(a, sorted(want[i]), strict=True):
             assert x[:3] == y[:3] and math.isclose(x[3], y[3], rel_tol=1e-9) and math.isclose(x[4], y[4], rel_tol=1e-9)
-    stored = sum(int(katz.unpack(r["totals"], "<u8").sum()) for r in tables.where("order = 1").collect())
-    assert stored == n
+    # the model as a table partitioned by order, read back: counts of n-grams and the histories' totals and weights
+    tables.write.partitionBy("order", "kind").parquet(str(tmp_path / "model"))
+    stored = scored.sparkSession.read.parquet(str(tmp_path / "model")).collect()
+    for n in c:
+        counts = [katz.unpack(r["totals"], "<u8") for r in stored if r["order"] == n and r["kind"] == "count"]
+        assert sorted(np.concatenate(counts).tolist()) == sorted(c[n].values())
+        if n > 1:
+            parts = [r for r in stored if r["order"] == n and r["kind"] == "history"]
+            found = sorted(zip(*(np.concatenate([katz.unpack(r[x], k) for r in parts]).tolist() for x, k in (("totals", "<u8"), ("weights", "<f8"))), strict=True))
+            assert np.allclose(found, sorted((total[n, h], weight[n, h]) for h in after[n]))
 
 
 def test_katz_without_training(make):
