@@ -1,8 +1,7 @@
-"""The queries opN_<name> and pipeline over the driver's tables, each with SQL where SQL can express it."""
+"""The queries opN_<name> over the driver's tables, each with SQL where SQL can express it."""
 
 from __future__ import annotations
 
-import corpus_pipeline
 from strandframe.llm import katz, lines, mixing, packing, quality, secrets_scan, simhash, substrings, transport, warc
 
 #: A module has query(spark, sf_dir) and ORACLE_SQL (None where SQL can't express it).
@@ -21,9 +20,8 @@ MODULES = {
 
 
 def queries() -> dict:
-    return {name: module.query for name, module in MODULES.items()} | {"pipeline": corpus_pipeline.run}
+    return {name: module.query for name, module in MODULES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {name: module.ORACLE_SQL for name, module in MODULES.items()} | {"pipeline": corpus_pipeline.ORACLE_SQL}
-    return {name: sql for name, sql in found.items() if sql}
+    return {name: module.ORACLE_SQL for name, module in MODULES.items() if module.ORACLE_SQL}

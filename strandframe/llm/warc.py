@@ -1,22 +1,27 @@
 """WARC records in ZIP packages, read by byte ranges.
 
 write() stores WARC/1.1 records, a gzip member each, in ZIP files in a folder that all executors share: stored (not
-deflated) members archive/data-*.warc.gz of about MEMBER bytes and, for each, indexes/index-*.cdxj, a line a record with its place. All sizes
-and offsets stand in ZIP64 fields. read_records() parses the end of the file, its ZIP64 locator and record if there are
+deflated) members archive/data-*.warc.gz of about MEMBER bytes and, for each, indexes/index-*.cdxj, a sorted line a record with its place. All
+sizes and offsets stand in ZIP64 fields. read_records() parses the end of the file, its ZIP64 locator and record if there are
 any, and the central directory, reads the indexes, deals runs of records to tasks, and reads each run as one byte range:
 nothing is extracted. A payload's later copies are revisit records that name the first.
 
+Packages of others are read too: archives are the stored members *.warc and *.warc.gz of any folder, indexes the members of
+indexes/ (CDX or CDXJ lines, stored or deflated, gzipped or not, one for all archives or one each); an archive that no index
+names is looked through for its records, a stretch at a time. A deflated archive is an error, since it has no ranges to read.
+
 Archives are written under new names and count only once their task has reported them, so that tasks may be repeated.
 
 Defined cases: a null payload is empty; a null url is empty, control characters in it are percent-encoded; a null page id
 is a page id, and never the one that others revisit if there are others; repeated rows are records of their own, of the
-same type; payloads under 100 bytes are never revisits; other columns are ignored; an empty table gives an empty result.
+same type and id; payloads under 100 bytes are never revisits; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -108,9 +113,9 @@ def directory(file, size: int) -> list[dict]:
     return members
 
 
-def data_start(file, member: dict) -> int:
+def data_start(file, member: dict, methods: tuple[int, ...] = (0,)) -> int:
     head = file.read_at(30, member["offset"])
-    if head[:4] != _LOCAL or member["method"] != 0:
+    if head[:4] != _LOCAL or member["method"] not in methods:
         raise ValueError(f"{member['name']} isn't a stored member")
     return member["offset"] + 30 + sum(struct.unpack_from("<HH", head, 26))
 
@@ -132,18 +137,28 @@ def record(page_id: int | None, url: str | None, payload: bytes, length: int, di
 
 
 def parse(member: bytes) -> dict:
-    """A record's fields; payload is None for revisits."""
-    raw = zlib.decompress(member, 31)
+    """A record's fields; payload is None for revisits, page_id and refers_to where ids aren't of our kind. Kinds without a payload have none."""
+    raw = zlib.decompress(member, 31) if member[:2] == b"\x1f\x8b" else member
     head, _, rest = raw.partition(b"\r\n\r\n")
-    fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-    block = rest[: int(fields["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    length = int(next(x for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")).split(b":")[1])
-    of = lambda x: None if x is None or x == "<urn:page:None>" else int(x[len("<urn:page:") : -1])
-    response = fields["WARC-Type"] == "response"
-    if response and len(payload) != length:
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode().split("\r\n")[1:])}
+    block = rest[: int(fields["content-length"])]
+    kind, http = fields["warc-type"], "application/http" in fields.get("content-type", "")
+    lines, _, payload = block.partition(b"\r\n\r\n") if http else (b"", b"", block)
+    stated = next((int(x.split(b":")[1]) for x in lines.split(b"\r\n") if x.lower().startswith(b"content-length:")), len(payload))
+    of = lambda x: int(x[len("<urn:page:") : -1]) if x and x.startswith("<urn:page:") and x != "<urn:page:None>" else None
+    whole = kind in ("response", "resource", "conversion")
+    if kind == "response" and len(payload) != stated:
         raise ValueError("a payload isn't as long as its record says")
-    return {"page_id": of(fields["WARC-Record-ID"]), "url": fields["WARC-Target-URI"], "record_type": fields["WARC-Type"], "payload_bytes": length, "payload": payload if response else None, "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha256:"), "refers_to": of(fields.get("WARC-Refers-To"))}
+    return {"page_id": of(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "record_type": kind, "payload_bytes": stated, "payload": payload if whole else None, "payload_digest": fields.get("warc-payload-digest", "").removeprefix("sha256:"), "refers_to": of(fields.get("warc-refers-to"))}
+
+
+def _key(url: str | None) -> str:
+    """What index lines are sorted by: the host from its end, then the rest."""
+    scheme, mark, rest = _clean(url).partition("://")
+    if not mark:
+        return _clean(url)
+    host, slash, path = rest.partition("/")
+    return f"{','.join(reversed(host.lower().split('.')))}){slash}{path}"
 
 
 def _writer(folder: str):
@@ -156,7 +171,7 @@ def _writer(folder: str):
         def flush() -> None:
             nonlocal size, members
             package.add(f"archive/data-{members:05d}.warc.gz", b"".join(archive))
-            package.add(f"indexes/index-{members:05d}.cdxj", "".join(lines).encode())
+            package.add(f"indexes/index-{members:05d}.cdxj", "".join(sorted(lines)).encode())
             archive.clear()
             lines.clear()
             size, members = 0, members + 1
@@ -170,7 +185,8 @@ def _writer(folder: str):
                     out = fs.open_output_stream(f"{root}/{name}", compression=None)
                     package = PackageWriter(out)
                 raw = record(r["page_id"], r["url"], r["html"] or b"", r["length"], r["digest"], r["refers_to"], r["revisit"])
-                lines.append(f"{_clean(r['url'])} 19700101000000 {json.dumps({'offset': size, 'length': len(raw), 'digest': 'sha256:' + r['digest']})}\n")
+                place = {"url": _clean(r["url"]), "digest": "sha256:" + r["digest"], "filename": f"data-{members:05d}.warc.gz", "offset": str(size), "length": str(len(raw))}
+                lines.append(f"{_key(r['url'])} 19700101000000 {json.dumps(place)}\n")
                 archive.append(raw)
                 size, total = size + len(raw), total + 1
                 if size >= MEMBER:
@@ -185,24 +201,68 @@ def _writer(folder: str):
     return run
 
 
+def _index_lines(file, members: list[dict]) -> Iterator[tuple[str, int, int]]:
+    """File name, offset and length of each line of the package's indexes."""
+    for m in members:
+        if not re.search(r"(^|/)indexes/[^/]+\.cdxj?(\.gz)?$", m["name"]):
+            continue
+        raw = file.read_at(m["size"], data_start(file, m, (0, 8)))
+        raw = zlib.decompress(raw, -15) if m["method"] == 8 else raw
+        lines = zlib.decompress(raw, 31) if raw[:2] == b"\x1f\x8b" else raw
+        for line in lines.decode().splitlines():
+            if "{" in line:
+                x = json.loads(line[line.index("{") :])
+                if "filename" in x:
+                    yield x["filename"].rsplit("/", 1)[-1], int(x["offset"]), int(x["length"])
+            elif len(cells := line.split()) >= 11 and cells[0] != "CDX":
+                yield cells[10].rsplit("/", 1)[-1], int(cells[9]), int(cells[8])
+
+
+def _places(file, start: int, size: int, step: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Offset and length of each record of an archive without an index, which is read from its start, a step at a time."""
+    at = begin = 0
+    if file.read_at(min(2, size), start) == b"\x1f\x8b":
+        inflate = zlib.decompressobj(31)
+        while at < size:
+            part = file.read_at(min(step, size - at), start + at)
+            at += len(part)
+            while part:
+                inflate.decompress(part)
+                part = inflate.unused_data
+                if not inflate.eof:
+                    break
+                yield begin, at - len(part) - begin
+                begin, inflate = at - len(part), zlib.decompressobj(31)
+        return
+    while at < size:
+        head = file.read_at(min(1 << 16, size - at), start + at)
+        end = head.index(b"\r\n\r\n") + 4
+        length = int(re.search(rb"(?im)^content-length:\s*(\d+)", head[:end])[1])
+        yield at, min(end + length + 4, size - at)
+        at += end + length + 4
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of records that lie next to each other, about RUN bytes each."""
     for b in batches:
-        for archive in b.column("archive").to_pylist():
-            fs, path = _open(archive)
+        for package in b.column("archive").to_pylist():
+            fs, path = _open(package)
             with fs.open_input_file(path) as file:
-                members = {m["name"]: m for m in directory(file, file.size())}
-                for name in sorted(x for x in members if x.startswith("archive/")):
-                    index = members[name.replace("archive/data-", "indexes/index-").replace(".warc.gz", ".cdxj")]
-                    start = data_start(file, members[name])
-                    lines = file.read_at(index["size"], data_start(file, index)).decode().splitlines()
-                    places = [(x["offset"], x["length"]) for x in (json.loads(line.split(" ", 2)[2]) for line in lines)]
-                    runs, upto = [], 0
+                members = directory(file, file.size())
+                listed: dict[str, list[tuple[int, int]]] = {}
+                for name, offset, length in _index_lines(file, members):
+                    listed.setdefault(name, []).append((offset, length))
+                for m in sorted((m for m in members if re.search(r"\.warc(\.gz)?$", m["name"])), key=lambda m: m["name"]):
+                    start = data_start(file, m)
+                    places = sorted(set(listed.get(m["name"].rsplit("/", 1)[-1], ()))) or _places(file, start, m["size"])
+                    runs: list[tuple[int, list[int]]] = []
+                    end = -1
                     for offset, length in places:
-                        if not runs or offset + length - runs[-1][0] > RUN:
+                        if not runs or offset != end or offset + length - runs[-1][0] > RUN:
                             runs.append((offset, []))
                         runs[-1][1].append(length)
-                    yield pa.RecordBatch.from_arrays([pa.array([archive] * len(runs)), pa.array([start + r[0] for r in runs], pa.int64()), pa.array([r[1] for r in runs], pa.list_(pa.int64()))], ["archive", "start", "lengths"])
+                        end = offset + length
+                    yield pa.RecordBatch.from_arrays([pa.array([package] * len(runs)), pa.array([start + r[0] for r in runs], pa.int64()), pa.array([r[1] for r in runs], pa.list_(pa.int64()))], ["archive", "start", "lengths"])
 
 
 _FIELDS = {"page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "refers_to": pa.int64()}
@@ -219,7 +279,7 @@ def _records(with_payload: bool):
                 for length in r["lengths"]:
                     x = parse(raw[at : at + length])
                     at += length
-                    if x["payload"] is not None and hashlib.sha256(x["payload"]).hexdigest() != x["payload_digest"]:
+                    if x["payload"] is not None and re.fullmatch("[0-9a-f]{64}", x["payload_digest"]) and hashlib.sha256(x["payload"]).hexdigest() != x["payload_digest"]:
                         raise ValueError("a payload isn't what its digest says")
                     rows.append(x)
                 kinds = _FIELDS | ({"payload": pa.binary()} if with_payload else {})

@@ -502,6 +502,47 @@ def test_warc(spark, tmp_path, monkeypatch):
     assert {r["url"] for r in got if r["page_id"] == 9} == {"http://c%0D%0AX:%20y%20é"}
 
 
+def test_packages_of_others(spark, tmp_path):
+    """Other folders and names, one index for several archives, gzipped or deflated, CDX columns, no index, and archives that aren't gzipped."""
+    import gzip
+    import json
+    import zipfile
+
+    def member(i, kind="response", gz=True):
+        payload = f"payload {i} ".encode() * 50
+        http = b"HTTP/1.1 200 OK\r\n\r\n" + payload
+        raw = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{i}>\r\nWARC-Target-URI: http://x/{i}\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: {len(http)}\r\n\r\n".encode() + http + b"\r\n\r\n"
+        return gzip.compress(raw) if gz else raw
+
+    def archive(ids, gz=True):
+        parts = [member(i, "request" if i % 5 == 4 else "response", gz) for i in ids]
+        places = [(sum(map(len, parts[:k])), len(x)) for k, x in enumerate(parts)]
+        return b"".join(parts), places
+
+    one, at_one = archive(range(10))
+    two, at_two = archive(range(10, 25))
+    cdxj = "".join(f'x)/{k} 2020 {json.dumps({"filename": name, "offset": str(o), "length": n})}\n' for name, at in (("one.warc.gz", at_one), ("two.warc.gz", at_two)) for k, (o, n) in enumerate(at))
+    cdx = " CDX N b a m s k r M S V g\n" + "".join(f"x)/ 2020 http://x text/html 200 AAA - - {n} {o} one.warc.gz\n" for o, n in at_one)
+    plain = archive(range(30, 37), gz=False)[0]
+    packages = {
+        "a.wacz": [("archive/one.warc.gz", one, 0), ("archive/two.warc.gz", two, 0), ("indexes/index.cdx.gz", gzip.compress(cdxj.encode()), 0), ("datapackage.json", b"{}", 8)],
+        "b.zip": [("deep/er/one.warc.gz", one, 0), ("indexes/all.cdx", cdx.encode(), 8)],
+        "c.zip": [("two.warc.gz", two, 0), ("three.warc", plain, 0)],
+    }
+    want = {"a.wacz": range(25), "b.zip": range(10), "c.zip": [*range(10, 25), *range(30, 37)]}
+    for name, members in packages.items():
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            for n, data, method in members:
+                z.writestr(n, data, method)
+        got = warc.read_records(spark.createDataFrame([(f"file://{tmp_path}/{name}",)], "archive string"), with_payload=True).collect()
+        assert sorted((r["url"], r["record_type"], r["payload"] and bytes(r["payload"])) for r in got) == sorted((f"http://x/{i}", "request" if i % 5 == 4 else "response", None if i % 5 == 4 else f"payload {i} ".encode() * 50) for i in want[name])
+    with zipfile.ZipFile(tmp_path / "d.zip", "w") as z:
+        z.writestr("one.warc.gz", one, 8)
+    with pytest.raises(Exception, match="isn't a stored member"):
+        warc.read_records(spark.createDataFrame([(f"file://{tmp_path}/d.zip",)], "archive string")).collect()
+    assert warc._key("https://www.Example.com/a/b") == "com,example,www)/a/b"
+
+
 def test_zip_is_a_zip(spark, tmp_path):
     """The standard library reads what is written, and the reader reads what the standard library writes."""
     import zipfile
