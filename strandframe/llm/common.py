@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
 import uuid
@@ -59,23 +58,22 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+#: Spark's own setting by which a query's shuffle files go when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """df written as a table in the shared folder and read again: its lineage ends there, and a lost executor costs nothing."""
+    """df written as a table in the shared folder and read again: its lineage ends there, a lost executor costs nothing, and its shuffle files go."""
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
-    tidy(spark)
-    df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).partitionBy(*partition_by).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).partitionBy(*partition_by).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files that nothing refers to any more; it does so only after the driver has collected its garbage.
-
-    The last job's own files are still referred to as its call returns, so this is for before the next job.
-    """
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def discard(*tables: DataFrame) -> None:
     """Deletes staged tables that are no longer needed."""
     for df in tables:
