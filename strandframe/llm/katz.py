@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import discard, read, staged, text_of
+from strandframe.llm.common import discard, read, shuffle_partitions, staged, text_of
 from strandframe.llm.substrings import _mixed
 
 ORDER = 2
@@ -312,6 +312,11 @@ def _score(known: Probabilities, order: int):
     return run
 
 
+def _dealt(rows: DataFrame, groups: int, *keys: str) -> DataFrame:
+    """rows by keys, over as many partitions as there are groups if that is more than Spark is set to: what a task reads doesn't grow with the corpus."""
+    return rows.repartition(groups, *keys) if groups > shuffle_partitions(rows.sparkSession) else rows
+
+
 def model_and_scores(docs: DataFrame, order: int = ORDER, block: int = BLOCK, tokens_a_part: int = RANGE) -> tuple[DataFrame, DataFrame]:
     """The model's tables and the scores of docs (doc_id, text; held_out: boolean, or null for the rule by crc32 of the id).
 
@@ -323,23 +328,24 @@ def model_and_scores(docs: DataFrame, order: int = ORDER, block: int = BLOCK, to
     made = rows.mapInArrow(_blocks(block), "block long, ids array<long>, held binary, lengths binary, tokens binary, vocabulary binary, n long")
     wave = lambda c: F.pmod(F.col(c), F.lit(WAVES)).cast("int")
     blocks = staged(made.withColumn("wave", wave("block")), "blocks", ("wave",))
-    parts = max(WAVES, -(-(blocks.agg(F.sum("n").alias("n")).first()["n"] or 0) // tokens_a_part))
+    size = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("blocks")).first()
+    parts, turn = max(WAVES, -(-size["n"] // tokens_a_part)), -(-size["blocks"] // WAVES)
     blocks = blocks.drop("n")
-    own = [blocks.where(F.col("wave") == w).drop("wave") for w in range(WAVES)]
+    own = [_dealt(blocks.where(F.col("wave") == w).drop("wave"), turn, "block") for w in range(WAVES)]
     union = lambda frames: reduce(DataFrame.union, frames)
 
     answered = []
     for w in range(WAVES):
         asked = blocks.drop("wave").mapInArrow(_ask(parts, parts * w // WAVES, parts * (w + 1) // WAVES, order), _ASKED)
-        answered.append(staged(asked.groupBy("order", "part").applyInArrow(_answer, _ANSWERED), "answers"))
+        answered.append(staged(_dealt(asked, -(-order * parts // WAVES), "order", "part").groupBy("order", "part").applyInArrow(_answer, _ANSWERED), "answers"))
     answers = union(answered)
     stats = answers.where("block is null").select("order", F.posexplode("stats")).groupBy("order", "pos").agg(F.sum("col").alias("n")).collect()  # 8 rows an order
     known = Probabilities([[next((r["n"] for r in stats if r["order"] == n and r["pos"] == i), 0) for i in range(K + 3)] for n in range(1, order + 1)])
 
-    told = lambda w: answers.where("block is not null").where(wave("block") == w).groupBy("block")
+    told = lambda w: _dealt(answers.where("block is not null").where(wave("block") == w), turn, "block").groupBy("block")
     for n in range(2, order + 1):
         sums = [staged(own[w].groupBy("block").cogroup(told(w)).applyInArrow(_histories(known, parts, n), _SUMMED), "sums") for w in range(WAVES)]
-        answers = answers.union(staged(union(sums).groupBy("part").applyInArrow(_weigh(n), _ANSWERED), "weights"))
+        answers = answers.union(staged(_dealt(union(sums), parts, "part").groupBy("part").applyInArrow(_weigh(n), _ANSWERED), "weights"))
         discard(*sums)
 
     scored = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
