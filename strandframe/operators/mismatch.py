@@ -29,9 +29,10 @@ def _aligned(reads: DataFrame, config: MismatchConfig) -> DataFrame:
     return rows.withColumn("source", F.lit("align"))
 
 
-def aligned_bases(alignments: DataFrame, reference: DataFrame, config: MismatchConfig, width: int = bases.WIDTH) -> DataFrame:
-    """The aligned bases that count, without clips and intervals; narrow but for the join with the reference."""
-    return _aligned(bases.on_reference(_reads(alignments, config, None, None), reference, width), config)
+def aligned_bases(alignments: DataFrame, reference: DataFrame, config: MismatchConfig, width: int = bases.WIDTH, bed: DataFrame | None = None, contigs: DataFrame | None = None) -> DataFrame:
+    """The aligned bases that count, without clips; narrow but for the joins with the reference and, in filter mode, the intervals.
+    A mask is laid on the reference beforehand."""
+    return _aligned(bases.on_reference(_reads(alignments, config, bed, contigs), reference, width), config)
 
 
 def placed(rows: DataFrame, config: MismatchConfig, longest: int | Column) -> DataFrame:

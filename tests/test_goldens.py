@@ -276,21 +276,25 @@ def test_sam_round_trip(spark, tmp_path):
         assert x == y
 
 
-def test_streamed_counts(spark, files, tmp_path):
+@pytest.mark.parametrize("mode", ["", "mask", "filter"])
+def test_streamed_counts(spark, files, tmp_path, mode):
     from strandframe.schema import ALIGNMENTS
     from strandframe.streaming import running_counts
 
     path, ref = files(PAIR, 32, "ACGT" * 8)
-    reads, reference, config = sam.read_alignments(spark, path), fasta.read_bins(spark, ref), MismatchConfig(position_mode="read")
+    reads, reference, config = sam.read_alignments(spark, path), fasta.read_bins(spark, ref), MismatchConfig(position_mode="read", bed_mode=mode or "mask")
+    bed = spark.createDataFrame([("chr1", 2, 4)], "contig string, start long, end long") if mode else None
+    contigs = sam.read_contigs(spark, path)
     reference.write.parquet(str(tmp_path / "reference"))
-    reference = spark.read.parquet(str(tmp_path / "reference"))
+    contigs.write.parquet(str(tmp_path / "contigs"))
+    reference, contigs = (spark.read.parquet(str(tmp_path / x)) for x in ("reference", "contigs"))
     for i in range(2):
         reads.where(F.col("rec_idx") % 2 == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "stream"))
     stream = spark.readStream.schema(ALIGNMENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "stream"))
-    q = running_counts(stream, reference, config, 8).writeStream.outputMode("complete").format("memory").queryName("counts").start()
+    q = running_counts(stream, reference, config, 8, bed=bed, contigs=contigs).writeStream.outputMode("complete").format("memory").queryName(f"counts{mode}").start()
     try:
         q.processAllAvailable()
-        assert sorted(rows(spark.table("counts"))) == sorted(rows(mismatch.mismatch_counts(reads, reference, config, longest=8)))
+        assert sorted(rows(spark.table(f"counts{mode}"))) == sorted(rows(mismatch.mismatch_counts(reads, reference, config, bed=bed, contigs=contigs, longest=8)))
     finally:
         q.stop()
 
