@@ -105,3 +105,35 @@ def test_any_ids(spark, make):
         least[group[t]] = min(least.get(group[t], (True, 0)), (i is None, i or 0))
     found = [(group[row["text"]], (row["doc_id"] is None, row["doc_id"] or 0)) for row in kept]
     assert sorted(found) == sorted(least.items())
+
+
+def test_anchors_are_near_words():
+    """Anchors are the nearest words of Golay codes to SimHash fingerprints, and pairs at exactly 0.8 share one."""
+    import numpy as np
+    from strandframe.llm import near, simhash
+
+    r = np.random.default_rng(6)
+    code, many = near.covering(), near.TABLES // near.ROUNDS
+    width = many * near.WORDS * simhash.LENGTH
+    for n, cut in ((5, (0, 1)), (18, (2, 2)), (180, (20, 20))):
+        shared = np.zeros(20, bool)
+        whole = [r.integers(0, 1 << 63, n + cut[0], np.uint64) for _ in shared]
+        sides = [[w[cut[0] :] for w in whole], [w[: n + cut[0] - cut[1]] if cut[1] else w for w in whole]]
+        for turn in range(near.ROUNDS):
+            mix = np.random.default_rng([near.SEED, turn]).integers(0, 1 << 64, -(-width // 64), np.uint64) | np.uint64(1)
+            found = []
+            for side in sides:
+                margins = np.array([2 * near.votes(s, mix)[:width] - len(s) for s in side], np.float32).reshape(len(side), many, near.WORDS, -1)
+                anchors, there = near.nearest(margins, many * turn, code)
+                assert there[:, :, 0].all()
+                found.append([set(a[t].tolist()) for a, t in zip(anchors, there, strict=True)])
+                for text in range(3):
+                    for table in range(many):
+                        assert anchors[text, table, 0] >> 12 * near.WORDS == many * turn + table
+                        for k in range(near.WORDS):
+                            top = int(anchors[text, table, 0]) >> 12 * (near.WORDS - 1 - k) & 0xFFF
+                            word = top << 11 | simhash._syndrome(top << 11)
+                            hard = sum(1 << i for i in range(simhash.LENGTH) if margins[text, table, k, i] > 0)
+                            assert (word ^ hard).bit_count() <= simhash.RADIUS + near.FURTHER
+            shared |= [bool(a & b) for a, b in zip(*found, strict=True)]
+        assert shared.all()
