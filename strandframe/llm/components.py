@@ -13,17 +13,18 @@ def connected(edges: DataFrame) -> DataFrame:
 
     Each round is two aggregations and two joins by node, written to the shared folder; the number of rounds grows with
     the logarithm of the number of nodes. Minima are combined before the shuffle and written as tables of their own, so that
-    both sides of a join are plain exchanges and Spark can split a hot node's edges.
+    both sides of a join are plain exchanges (never broadcast: packed ids are many more rows than their files' size tells) and Spark
+    can split a hot node's edges.
     """
     now = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     mark = None
     while True:
         both = now.union(now.select("v", "u"))
         least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")), "least")
-        large = staged(both.join(least, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        large = staged(both.join(least.hint("merge"), F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         discard(least)
         least = staged(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m"), "least")
-        met = large.join(least, F.col("u") == F.col("k"))
+        met = large.join(least.hint("merge"), F.col("u") == F.col("k"))
         small = staged(met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct(), "small")
         discard(now, large, least)
         now, last = small, mark

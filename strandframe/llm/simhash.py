@@ -122,10 +122,14 @@ def _anchors(threshold: int):
 
 
 def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs a < b of the fingerprints (fp) at most threshold bits apart."""
+    """Pairs a < b of the fingerprints (fp) at most threshold bits apart.
+
+    Spark takes what mapInArrow returns for as many rows as it got, so a table of anchors looks 60 times smaller than it is: the join
+    is by exchanges, whatever its size, and nothing goes through the driver.
+    """
     placed = distinct.select("fp").mapInArrow(_anchors(threshold), "anchor long, fp long, home boolean")
     home = placed.where("home").select("anchor", F.col("fp").alias("x")).alias("h")
-    met = home.join(placed.select("anchor", F.col("fp").alias("y")).alias("p"), (F.col("h.anchor") == F.col("p.anchor")) & (F.col("x") < F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= threshold))
+    met = home.hint("merge").join(placed.select("anchor", F.col("fp").alias("y")).alias("p"), (F.col("h.anchor") == F.col("p.anchor")) & (F.col("x") < F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= threshold))
     return met.select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
@@ -134,11 +138,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     rows = staged(fingerprints(docs, shingle), "fingerprints")
     distinct = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = connected(links(distinct, threshold))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(roots.hint("merge"), distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     # a table of its own, so that Spark can split the join for a large component
     least = staged(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
-    named = rooted.join(least, "root").select(F.col("fp").alias("of"), "component_id")
-    return rows.join(named, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = rooted.join(least.hint("merge"), "root").select(F.col("fp").alias("of"), "component_id")
+    return rows.join(named.hint("merge"), F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,3 +137,15 @@ def test_anchors_are_near_words():
                             assert (word ^ hard).bit_count() <= simhash.RADIUS + near.FURTHER
             shared |= [bool(a & b) for a, b in zip(*found, strict=True)]
         assert shared.all()
+
+
+def test_links_and_components_broadcast_nothing(spark):
+    """A row becomes about 60 anchors that Spark doesn't count: what looks small enough to broadcast isn't."""
+    from pyspark.sql import functions as F
+
+    from strandframe.llm import simhash
+    from strandframe.llm.common import staged
+
+    few = staged(spark.range(1000).select(F.xxhash64("id").alias("fp")), "few")
+    plan = simhash.links(few)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
