@@ -15,10 +15,10 @@ def numbered(spark: SparkSession, path: str) -> DataFrame:
         rows = [(i, x.rstrip("\r\n"), "-", 0) for i, x in enumerate(sys.stdin)]
         return spark.createDataFrame(rows, "line_no long, line string, file string, block long")
     rows = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("m"))
-    counts = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    # a block is read by one task, so its rows have consecutive ids: its first id and its size are enough, and no line is shuffled
+    counts = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("first"))
     before = counts.withColumn("before", F.sum("n").over(W.orderBy("file", "block")) - F.col("n")).drop("n")  # a row a block
-    number = F.row_number().over(W.partitionBy("file", "block").orderBy("m")) - 1
-    return rows.withColumn("at", number).join(before, ["file", "block"]).select((F.col("before") + F.col("at")).alias("line_no"), "line", "file", "block")
+    return rows.join(F.broadcast(before), ["file", "block"]).select((F.col("before") + F.col("m") - F.col("first")).alias("line_no"), "line", "file", "block")
 
 
 def fields(rows: DataFrame) -> DataFrame:

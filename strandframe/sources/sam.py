@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandframe.sources.lines import fields, numbered
+from strandframe.staging import written
 
 
 def read_contigs(spark: SparkSession, path: str) -> DataFrame:
@@ -32,7 +33,7 @@ def read_alignments(spark: SparkSession, path: str) -> DataFrame:
     f = lambda i: F.get("f", F.lit(i))
     seq = F.when(f(9) == "*", "").otherwise(f(9))
     rest = F.slice("f", 12, 10_000)
-    contigs = read_contigs(spark, path)
+    contigs = written(read_contigs(spark, path), "contigs")  # few rows, looked up twice: the file is read once for them
     records = rows.select(
         F.col("line_no").alias("rec_idx"), f(0).alias("qname"), f(1).cast("int").alias("flag"), f(2).alias("contig"), (f(3).cast("long") - 1).alias("pos"), f(4).cast("int").alias("mapq"), f(5).alias("cigar"),
         F.when(f(6) == "=", f(2)).otherwise(f(6)).alias("next"), (f(7).cast("long") - 1).alias("mpos"), seq.alias("seq"), _qualities(f(10), seq).alias("qual"),

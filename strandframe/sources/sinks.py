@@ -1,7 +1,9 @@
-"""Text files of results: one file each, or standard output ("-" or None). Results are aggregates, so rows stream through the driver."""
+"""Text files of results: one file each, or standard output ("-" or None). Results are aggregates, so rows stream through the driver;
+records don't."""
 
 from __future__ import annotations
 
+import os
 import sys
 from collections.abc import Iterable
 
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from strandframe.functions.exprs import fixed6
 from strandframe.operators import rescale
 from strandframe.sources import sam
+from strandframe.staging import shared_path
 
 
 def write_lines(lines: Iterable[str], path: str | None) -> None:
@@ -85,8 +88,44 @@ def write_wide_inconsistencies(wide: DataFrame, path: str | None = None) -> None
     write_lines(["", "# Read Pair Inconsistencies", ",".join(rows.columns), *_rows(rows, ",")], path)
 
 
+def _write_part(folder: str):
+    def run(batches):
+        from uuid import uuid4
+
+        from pyarrow import RecordBatch, array, fs
+        from pyspark import TaskContext
+
+        path = f"{folder}/{uuid4().hex}"
+        system, place = fs.FileSystem.from_uri(path)
+        with system.open_output_stream(place, compression=None) as out:
+            for b in batches:
+                if len(b):
+                    out.write(("\n".join(b.column(0).to_pylist()) + "\n").encode())
+        yield RecordBatch.from_arrays([array([TaskContext.get().partitionId()]), array([path])], ["number", "path"])
+
+    return run
+
+
 def write_sam(records: DataFrame, header: list[str], path: str | None = None) -> None:
-    """Placed records in order, then the others."""
+    """Placed records in order, then the others. Tasks write the lines of their parts to the shared folder; the driver copies them one
+    behind the other. Only standard output gets its lines through the driver."""
     ordered = rescale.in_order(records)
-    lines = ordered.select(sam.line(ordered).alias("line")).toLocalIterator()
-    write_lines((x for part in (header, (r["line"] for r in lines)) for x in part), path)
+    lines = ordered.select(sam.line(ordered).alias("line"))
+    if path in (None, "-"):
+        write_lines((x for part in (header, (r["line"] for r in lines.toLocalIterator())) for x in part), path)
+        return
+    from pyarrow import fs
+
+    folder = shared_path(records.sparkSession, "sam")
+    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    system, place = fs.FileSystem.from_uri(folder)
+    system.create_dir(place, recursive=True)
+    done = lines.mapInArrow(_write_part(folder), "number long, path string").collect()  # a row a task
+    to, at = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
+    with to.open_output_stream(at, compression=None) as out:
+        out.write("".join(f"{x}\n" for x in header).encode())
+        for part in sorted(done, key=lambda r: r["number"]):
+            own, there = fs.FileSystem.from_uri(part["path"])
+            with own.open_input_stream(there, compression=None) as file:
+                while data := file.read(8 << 20):
+                    out.write(data)
