@@ -62,7 +62,7 @@ REGION = (200, 420)
 
 def _bam_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _bam_path(spark, sf_dir)
-    bam.write_index(path)
+    bam.write_index(path, spark)
     name = _contigs(spark, sf_dir)[1][0]
     return _fields(bam.read_alignments(spark, path, f"{name}:{REGION[0]}-{REGION[1]}")).drop("mc")
 

@@ -15,6 +15,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -26,8 +27,19 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from strandframe import schema
 
 _LETTERS, _OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
+
+
+class _Digits(dict):
+    """Letters as hexadecimal digits; any other letter is N."""
+
+    def __missing__(self, key: int) -> str:
+        return "f"
+
+
+_TO_HEX = _Digits({ord(c): "0123456789abcdef"[i] for i, c in enumerate(_LETTERS)})
+_FROM_HEX = str.maketrans("0123456789abcdef", _LETTERS)
 _END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
-SPLIT = 32 << 20
+SPLIT = 8 << 20
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
 _FIELDS = pa.schema([(n, _TYPES[k]) for n, k in (x.split(" ") for x in schema.ALIGNMENTS.split(", "))])
 
@@ -76,8 +88,10 @@ class _Stream:
     def where(self) -> tuple[int, int]:
         while self.at >= len(self.data) and self._more():
             pass
-        place, block = max((m for m in self.marks if m[0] <= self.at), default=(0, -1))
-        return block, self.at - place
+        for place, block in reversed(self.marks):  # in the order of their places
+            if place <= self.at:
+                return block, self.at - place
+        return -1, self.at
 
     def take(self, n: int) -> bytes | None:
         while len(self.data) - self.at < n:
@@ -101,6 +115,18 @@ def header(path: str) -> tuple[str, list[tuple[str, int]], tuple[int, int]]:
     return text, contigs, s.where()
 
 
+@lru_cache(1 << 12)
+def _cigar(raw: bytes) -> str:
+    return "".join(f"{x >> 4}{_OPS[x & 15]}" for (x,) in struct.iter_unpack("<I", raw)) or "*"
+
+
+@lru_cache(1 << 12)
+def _tag_texts(raw: bytes) -> tuple[str | None, str]:
+    """The mate's CIGAR, if a tag has it, and all tags as text."""
+    tags = list(_tags(raw))
+    return next((t[5:] for t in tags if t.startswith("MC:Z:")), None), "\t".join(tags)
+
+
 def _tags(raw: bytes) -> Iterator[str]:
     sizes = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
     i = 0
@@ -129,16 +155,12 @@ def decode(raw: bytes, contigs: list[tuple[str, int]], index: int) -> tuple:
     """A record's row."""
     tid, pos, name, mapq, _, n_ops, flag, length, mtid, mpos, tlen = struct.unpack_from("<iiBBHHHiiii", raw)
     i = 32 + name
-    ops = struct.unpack_from(f"<{n_ops}I", raw, i)
+    cigar = _cigar(raw[i : i + 4 * n_ops])
     i += 4 * n_ops
-    packed = raw[i : i + (length + 1) // 2]
-    seq = "".join(_LETTERS[b >> 4] + _LETTERS[b & 15] for b in packed)[:length]
+    seq = raw[i : i + (length + 1) // 2].hex().translate(_FROM_HEX)[:length]
     i += (length + 1) // 2
-    qual = list(raw[i : i + length])
-    tags = list(_tags(raw[i + length :]))
-    mc = next((t[5:] for t in tags if t.startswith("MC:Z:")), None)
-    cigar = "".join(f"{x >> 4}{_OPS[x & 15]}" for x in ops) or "*"
-    return index, raw[32 : 31 + name].decode(), flag, tid, contigs[tid][0] if tid >= 0 else "*", pos, mapq, cigar, mtid, mpos, seq, qual, mc, "\t".join(tags), contigs[mtid][0] if mtid >= 0 else "*", tlen
+    mc, tags = _tag_texts(raw[i + length :])
+    return index, raw[32 : 31 + name].decode(), flag, tid, contigs[tid][0] if tid >= 0 else "*", pos, mapq, cigar, mtid, mpos, seq, list(raw[i : i + length]), mc, tags, contigs[mtid][0] if mtid >= 0 else "*", tlen
 
 
 def _next_block(file, at: int, end: int) -> int | None:
@@ -230,11 +252,43 @@ def chunks(index: list, tid: int, start: int, end: int) -> list[tuple[int, int]]
     return out
 
 
+def _ranges(start: int, end: int, split: int) -> Iterator[tuple[int, int, int | None]]:
+    """The stretch between two virtual offsets by ranges of split bytes: byte, virtual offset of the end, and that of the beginning where it is known."""
+    at = start >> 16
+    while at << 16 < end:
+        yield at, min(at + split << 16, end), start if at == start >> 16 else None
+        at += split
+
+
+def _records(path: str, at: int, end: int, begin: int | None) -> Iterator[tuple[int, bytes, int]]:
+    """Virtual offset, body and virtual offset of what follows, of each record that begins in a range."""
+    _, contigs, first = header(path)
+    file = _open(path)
+    if begin is None and at <= first[0]:
+        begin = first[0] << 16 | first[1]
+    place = None if begin is None else (begin >> 16, begin & 0xFFFF)
+    while place is None:
+        block = _next_block(file, at, -(-end >> 16))
+        if block is None:
+            return
+        skip = _first_record(file, block, contigs)
+        place, at = None if skip is None else (block, skip), block + 1
+    stream = _Stream(file, *place)
+    block, offset = stream.where()
+    while block >= 0 and (here := block << 16 | offset) < end:
+        size = stream.take(4)
+        if size is None:
+            return
+        raw = stream.take(struct.unpack("<i", size)[0])
+        block, offset = stream.where()
+        yield here, raw, block << 16 | offset if block >= 0 else 1 << 62
+
+
 class _Part(InputPartition):
-    """A byte range, or with chunk a stretch between virtual offsets."""
+    """A range as _ranges() gives it; with chunk it is from the index."""
 
-    def __init__(self, path: str, number: int, start: int, end: int, chunk: bool = False) -> None:
-        self.path, self.number, self.start, self.end, self.chunk = path, number, start, end, chunk
+    def __init__(self, path: str, number: int, at: int, end: int, begin: int | None, chunk: bool = False) -> None:
+        self.path, self.number, self.at, self.end, self.begin, self.chunk = path, number, at, end, begin, chunk
 
 
 class BamReader(DataSourceReader):
@@ -251,44 +305,48 @@ class BamReader(DataSourceReader):
             if index is not None:
                 names = [n for n, _ in header(path)[1]]
                 found = chunks(index, names.index(self.region[0]), *self.region[1:]) if self.region[0] in names else []
-                parts += [_Part(path, number, a, b, True) for a, b in found]
+                # a chunk may be most of the file: it is cut as a file is
+                parts += [_Part(path, number, *x, True) for a, b in found for x in _ranges(a, b, self.split)]
             else:
                 with _open(path) as file:
                     size = file.size()
-                parts += [_Part(path, number, a, min(a + self.split, size)) for a in range(0, size, self.split)]
+                parts += [_Part(path, number, a, min(a + self.split, size) << 16, None) for a in range(0, size, self.split)]
         return parts
 
     def rows(self, part: _Part) -> Iterator[tuple]:
-        _, contigs, first = header(part.path)
-        file = _open(part.path)
-        if part.chunk:
-            begin, end = (part.start >> 16, part.start & 0xFFFF), part.end
-        else:
-            begin, end = first if part.start <= first[0] else None, part.end << 16
-            at = part.start
-            while begin is None:
-                block = _next_block(file, at, part.end)
-                if block is None:
-                    return
-                skip = _first_record(file, block, contigs)
-                begin, at = None if skip is None else (block, skip), block + 1
-        stream = _Stream(file, *begin)
-        while True:
-            block, offset = stream.where()
-            if block < 0 or block << 16 | offset >= end:
-                return
-            size = stream.take(4)
-            if size is None:
-                return
-            raw = stream.take(struct.unpack("<i", size)[0])
-            row = decode(raw, contigs, part.number << 56 | block << 16 | offset)
-            if self.region is None or (row[4] == self.region[0] and self.region[1] <= row[5] < self.region[2]):
-                yield row
+        _, contigs, _ = header(part.path)
+        for at, raw, _ in _records(part.path, part.at, part.end, part.begin):
+            tid, pos = struct.unpack_from("<ii", raw)
+            if self.region is None or (tid >= 0 and contigs[tid][0] == self.region[0] and self.region[1] <= pos < self.region[2]):
+                yield decode(raw, contigs, part.number << 56 | at)
 
     def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
         rows = self.rows(part)
         while some := list(islice(rows, 2048)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), _FIELDS, strict=True)], schema=_FIELDS)
+            columns = [_bytes_as_lists(c) if f.name == "qual" else pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), _FIELDS, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, schema=_FIELDS)
+
+
+def _bytes_as_lists(rows: Iterable[list[int]]) -> pa.Array:
+    parts = [bytes(x) for x in rows]
+    ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), np.uint8).astype(np.int32)))
+
+
+def _lists_as_bytes(lists: pa.Array) -> list[bytes]:
+    """Each list of numbers up to 255 as bytes; other numbers are an error."""
+    whole, at = lists.flatten().cast(pa.uint8()).to_numpy(zero_copy_only=False).tobytes(), 0
+    out = []
+    for n in lists.value_lengths().to_pylist():
+        out.append(whole[at : at + n])
+        at += n
+    return out
+
+
+def _encoded(batch: pa.RecordBatch) -> Iterator[bytes]:
+    """The records of a batch; no number of a list becomes an object."""
+    columns = [_lists_as_bytes(c) if f.name == "qual" else c.to_pylist() for f, c in zip(batch.schema, batch.columns, strict=True)]
+    return (encode(dict(zip(batch.schema.names, x, strict=True))) for x in zip(*columns, strict=True))
 
 
 class BamSource(DataSource):
@@ -316,6 +374,7 @@ def read_contigs(spark: SparkSession, path: str) -> DataFrame:
 _WIDTHS = {"c": "b", "C": "B", "s": "h", "S": "H", "I": "I"}
 
 
+@lru_cache(1 << 12)
 def _tag_bytes(text: str) -> bytes:
     tag, kind, value = text.split(":", 2)
     if kind == "B":
@@ -335,15 +394,21 @@ def _bin(start: int, end: int) -> int:
     return 0
 
 
+@lru_cache(1 << 12)
+def _packed_ops(cigar: str) -> tuple[bytes, int, int]:
+    """A CIGAR's operations as stored, how many they are and how many bases of the reference they span."""
+    ops = [int(n) << 4 | _OPS.index(o) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", cigar)]
+    return struct.pack(f"<{len(ops)}I", *ops), len(ops), sum(x >> 4 for x in ops if _OPS[x & 15] in "MDN=X")
+
+
 def encode(row) -> bytes:
-    ops = [int(n) << 4 | _OPS.index(o) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", row["cigar"])]
-    span = sum(x >> 4 for x in ops if _OPS[x & 15] in "MDN=X")
-    codes = [_LETTERS.index(c) if c in _LETTERS else 15 for c in row["seq"]]
-    codes += [0] * (len(codes) % 2)
+    ops, n_ops, span = _packed_ops(row["cigar"])
+    seq, pos = row["seq"], row["pos"]
+    codes = bytes.fromhex(seq.translate(_TO_HEX) + "0" * (len(seq) % 2))
     name = row["qname"].encode() + b"\0"
     tags = b"".join(_tag_bytes(t) for t in row["tags"].split("\t") if t) if row["tags"] else b""
-    head = struct.pack("<iiBBHHHiiii", row["tid"], row["pos"], len(name), row["mapq"], _bin(max(row["pos"], 0), max(row["pos"], 0) + max(span, 1)), len(ops), row["flag"], len(row["seq"]), row["mtid"], row["mpos"], row["tlen"] or 0)
-    body = head + name + struct.pack(f"<{len(ops)}I", *ops) + bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True)) + bytes(row["qual"]) + tags
+    head = struct.pack("<iiBBHHHiiii", row["tid"], pos, len(name), row["mapq"], _bin(max(pos, 0), max(pos, 0) + max(span, 1)), n_ops, row["flag"], len(seq), row["mtid"], row["mpos"], row["tlen"] or 0)
+    body = head + name + ops + codes + bytes(row["qual"]) + tags
     return struct.pack("<i", len(body)) + body
 
 
@@ -391,7 +456,7 @@ def _write_part(folder: str):
 
         number, path = TaskContext.get().partitionId(), f"{folder}/{uuid4().hex}"
         with _create(path) as out:
-            for x in _packed(encode(row) for b in batches for row in b.to_pylist()):
+            for x in _packed(x for b in batches for x in _encoded(b)):
                 out.write(x)
         yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([path])], ["number", "path"])
 
@@ -421,32 +486,48 @@ def write_alignments(records: DataFrame, text: str, contigs: list[tuple[str, int
         out.write(_END)
 
 
-def write_index(path: str) -> None:
-    """Writes the index (.bai) of a file sorted by place; one pass over it."""
-    _, contigs, first = header(path)
+def _indexed(path: str, at: int, end: int, begin: int | None) -> list[tuple[int, dict[int, list[list[int]]], dict[int, int]]]:
+    """Of the contigs of the records that begin in a range: number, chunks by bin and the first record of each window."""
+    out: dict[int, tuple[dict, dict]] = {}
+    for here, raw, after in _records(path, at, end, begin):
+        tid, pos, name, _, _, n_ops = struct.unpack_from("<iiBBHH", raw)
+        if tid < 0:
+            continue
+        _, _, span = _packed_ops(_cigar(raw[32 + name : 32 + name + 4 * n_ops]))
+        low = max(pos, 0)
+        high = low + max(span, 1)
+        bins, windows = out.setdefault(tid, ({}, {}))
+        held = bins.setdefault(_bin(low, high), [])
+        if held and held[-1][1] == here:
+            held[-1][1] = after
+        else:
+            held.append([here, after])
+        for w in range(low >> 14, ((high - 1) >> 14) + 1):
+            windows.setdefault(w, here)
+    return [(tid, bins, windows) for tid, (bins, windows) in out.items()]
+
+
+def write_index(path: str, spark: SparkSession | None = None, split: int = SPLIT) -> None:
+    """Writes the index (.bai) of a file sorted by place. With a session, tasks read the file by byte ranges and the driver joins
+    what they found, which is no more than the index; without, this process reads it all."""
+    _, contigs, _ = header(path)
+    with _open(path) as file:
+        size = file.size()
+    parts = [(path, a, min(a + split, size) << 16, None) for a in range(0, size, split)]
+    done = spark.sparkContext.parallelize(parts, len(parts)).map(lambda x: _indexed(*x)).collect() if spark else (_indexed(*x) for x in parts)
     bins: list[dict[int, list[list[int]]]] = [{} for _ in contigs]
     linear: list[list[int]] = [[] for _ in contigs]
-    stream = _Stream(_open(path), *first)
-    block, offset = stream.where()
-    at = block << 16 | offset
-    while (size := stream.take(4)) is not None:
-        raw = stream.take(struct.unpack("<i", size)[0])
-        block, offset = stream.where()
-        after = block << 16 | offset if block >= 0 else 1 << 62
-        tid, pos, name, _, _, n_ops = struct.unpack_from("<iiBBHH", raw)
-        if tid >= 0:
-            span = sum(x >> 4 for x in struct.unpack_from(f"<{n_ops}I", raw, 32 + name) if _OPS[x & 15] in "MDN=X")
-            end = max(pos, 0) + max(span, 1)
-            held = bins[tid].setdefault(_bin(max(pos, 0), end), [])
-            if held and held[-1][1] == at:
-                held[-1][1] = after
-            else:
-                held.append([at, after])
+    for found in done:  # in the file's order
+        for tid, own, places in found:
+            for number, held in own.items():
+                all_held = bins[tid].setdefault(number, [])
+                if all_held and all_held[-1][1] == held[0][0]:
+                    all_held[-1][1] = held.pop(0)[1]
+                all_held += held
             windows = linear[tid]
-            windows += [0] * (((end - 1) >> 14) + 1 - len(windows))
-            for w in range(max(pos, 0) >> 14, ((end - 1) >> 14) + 1):
-                windows[w] = windows[w] or at
-        at = after
+            windows += [0] * (max(places) + 1 - len(windows))
+            for w, here in places.items():
+                windows[w] = windows[w] or here
     with _create(path + ".bai") as out:
         out.write(b"BAI\1" + struct.pack("<i", len(contigs)))
         for of, windows in zip(bins, linear, strict=True):
